@@ -166,9 +166,9 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int = WIDTH, num: int =
 
 
 def prefixes(texts: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
-    """(shingle, node, comp, n): of every text the shingles among which two
+    """(shingle, node, comp, n, i): of every text the shingles among which two
     texts at the threshold must share one, rarest first by a bounded table of
-    counts over these texts."""
+    counts over these texts; i is the shingle's place in that order."""
     spark = texts.sparkSession
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,20 +187,22 @@ def prefixes(texts: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DE
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = shared.value
         for b in batches:
-            nodes, comps = b.column("node").to_pylist(), b.column("comp").to_pylist()
             out, lens = [np.zeros(0, np.uint64)], []
             for s in text_sets(b.column("text"), width):
                 n = len(s)
                 s = s[np.lexsort([s, rank[(s & np.uint64(SLOTS - 1)).astype(np.int64)]])][: n - -(-num * n // den) + 1]
                 out.append(s)
                 lens.append((len(s), n))
-            times = np.array([x for x, _ in lens], np.int64)
+            times = np.array([k for k, _ in lens], np.int64)
+            of = pa.array(np.repeat(np.arange(len(lens)), times))
+            place = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            sizes = np.array([n for _, n in lens], np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), times)), pa.array(np.repeat(np.array(comps, np.int64), times)), pa.array(np.repeat(np.array([x for _, x in lens], np.int64), times))],
-                ["shingle", "node", "comp", "n"],
+                [pa.array(np.concatenate(out).view(np.int64)), b.column("node").take(of), b.column("comp").take(of), pa.array(np.repeat(sizes, times)), pa.array(place)],
+                ["shingle", "node", "comp", "n", "i"],
             )
 
-    return texts.select("node", "comp", "text").mapInArrow(run, "shingle long, node long, comp long, n long")
+    return texts.select("node", "comp", "text").mapInArrow(run, "shingle long, node long, comp long, n long, i long")
 
 
 def near_dedup(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -234,9 +236,12 @@ def near_dedup(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = D
     rest = cut(led.join(open_, "key").select("node", "comp").distinct(), "rest")
     if rest.limit(1).count():
         posts = cut(prefixes(texts.join(small(rest), "node"), width, num, den), "prefixes")
-        x = posts.select("shingle", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"))
-        y = posts.select("shingle", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
-        more = x.join(y, "shingle").where((F.col("ca") < F.col("cb")) & (F.lit(den) * F.least("na", "nb") >= F.lit(num) * F.greatest("na", "nb")))
+        x = posts.select("shingle", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("i").alias("ia"))
+        y = posts.select("shingle", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("i").alias("ib"))
+        # at the first shingle that two texts share, none before it is shared, so
+        # what they share is at most what is left of either: a bound on similarity
+        left = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
+        more = x.join(y, (x["shingle"] == y["shingle"]) & (F.col("ca") < F.col("cb")) & (F.lit(den) * left >= F.lit(num) * (F.col("na") + F.col("nb") - left)))
         more = cut(more.select("a", "b", "ca", "cb").distinct(), "across")
         found = verified(more, texts, width, num, den).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
         joined = cut(connected(found, "across"), "joined").select(F.col("node").alias("comp"), F.col("comp").alias("to"))
