@@ -19,8 +19,10 @@ from __future__ import annotations
 
 import os
 import posixpath
+import re
 import uuid
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +38,8 @@ from ._common import arrow_rows, new_path
 MAGIC = b"MSPLANE1"
 CHUNK = 1 << 16
 NO_ID = -(1 << 63)
-#: Pieces that a worker remembers the ids of, in each of two generations.
-PIECES = 200_000
+#: Pieces that a worker remembers the ids of (about 200 bytes each).
+PIECES = 1_000_000
 
 
 # -- planes ------------------------------------------------------------------
@@ -146,61 +148,128 @@ class Encoder:
     """Whole texts to ids. A text is cut before each single space between two
     characters that are no white space; a byte-level vocabulary whose pattern
     takes that space to the next word never joins over such a cut, so the ids
-    of a text are those of its pieces in turn. Pieces that came before are
-    remembered in two generations of bounded size."""
+    of a text are those of its pieces in turn. New pieces are encoded many at a
+    time as one text, which the bytes of each token part again. A worker
+    remembers the ids of up to ``PIECES`` pieces, then starts afresh."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.tok = Tokenizer.from_file(path)
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [_pieces(t) for t in texts]
-        need = set().union(*split)
-        old, new = self.old, self.new
-        miss = []
-        for p in need - new.keys():
-            if p in old:
-                new[p] = old[p]
-            else:
-                miss.append(p)
-        for i in range(0, len(miss), 4096):
-            part = miss[i : i + 4096]
-            new.update(zip(part, self.whole(part)))
-        get = new.__getitem__
-        out = [b"".join(map(get, s)) for s in split]
-        if len(new) > PIECES:
-            self.old, self.new = new, {}
-        return out
+        self.tok, self.end_id = Tokenizer.from_file(path), end_id
+        vocabulary = self.tok.get_vocab()
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():  # a character of a byte-level token is a byte
+            self.bytes_of[i] = len(token)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.code: defaultdict = defaultdict()
+        self.code.default_factory = self.code.__len__
+        self.bank, self.used = np.zeros(1 << 20, np.uint32), 1
+        self.bank[0] = self.end_id
+        self.off, self.len = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.code[()] = 0  # the end of a text
+        self.len[0] = 1
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, keys: list, first: int) -> None:
+        """Ids of new pieces; keys[k] has code first + k. A word stands for the
+        word after a space, a tuple for its text as it is."""
+        words = [k for k, key in enumerate(keys) if isinstance(key, str)]
+        rest = [k for k, key in enumerate(keys) if not isinstance(key, str)]
+        flat, lens = [], []
+        for i in range(0, len(words), 4096):
+            part = [keys[k] for k in words[i : i + 4096]]
+            joined = " " + " ".join(part)
+            ids = np.array(self._ids([joined])[0], np.uint32)
+            ends = np.cumsum(self.bytes_of[ids])
+            size = map(len, part) if joined.isascii() else (len(w.encode()) for w in part)
+            want = np.cumsum(np.fromiter(size, np.int64, len(part)) + 1)
+            cuts = np.searchsorted(ends, want)
+            if cuts[-1] == len(ids) - 1 and np.array_equal(ends[cuts], want):
+                flat.append(ids)
+                lens.append(np.diff(cuts, prepend=-1))
+            else:  # a token over a cut: not such a vocabulary
+                rest += words[i : i + 4096]
+                words[i : i + 4096] = [-1] * len(part)
+        order = [k for k in words if k >= 0] + rest
+        alone = self._ids([k[0] if isinstance(k, tuple) else " " + k for k in map(keys.__getitem__, rest)])
+        flat += [np.array(x, np.uint32) for x in alone]
+        lens.append(np.array([len(x) for x in alone], np.int64))
+        new, lens = np.concatenate(flat), np.concatenate(lens)
+        while self.used + len(new) > len(self.bank):
+            self.bank = np.concatenate([self.bank, np.zeros_like(self.bank)])
+        while first + len(keys) > len(self.off):
+            self.off, self.len = np.concatenate([self.off, np.zeros_like(self.off)]), np.concatenate([self.len, np.zeros_like(self.len)])
+        self.bank[self.used : self.used + len(new)] = new
+        at = first + np.array(order)
+        self.len[at] = lens
+        self.off[at] = self.used + np.cumsum(lens) - lens
+        self.used += len(new)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in turn, each with the end id; ids of each text)."""
+        if len(self.code) > PIECES:
+            self._clear()
+        flat: list = []
+        ends = np.zeros(len(texts), np.int64)
+        for k, t in enumerate(texts):
+            if _unsafe(t):
+                flat += [(p,) for p in _pieces(t)]
+            elif t:
+                s = t.split(" ")
+                s[0] = (s[0],)
+                flat += s
+            flat.append(())
+            ends[k] = len(flat)
+        known = len(self.code)
+        codes = np.fromiter(map(self.code.__getitem__, flat), np.int64, len(flat))
+        fresh = np.flatnonzero(codes >= known)
+        if len(fresh):
+            _, at = np.unique(codes[fresh], return_index=True)
+            self._learn([flat[i] for i in fresh[at].tolist()], known)
+        lens = self.len[codes]
+        total = np.cumsum(lens)
+        ids = self.bank[np.repeat(self.off[codes] - (total - lens), lens) + np.arange(total[-1] if len(total) else 0)]
+        return ids, np.diff(total[ends - 1], prepend=0)
+
+
+#: White space other than space and line feed, in ASCII and beyond.
+_RARE_ASCII = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+_RARE = re.compile(r"[^\S \n]")
+
+
+def _unsafe(t: str) -> bool:
+    """Whether a space may have white space or an end of the text beside it."""
+    if t[:1] == " " or t[-1:] == " " or "  " in t or " \n" in t or "\n " in t:
+        return True
+    return any(c in t for c in _RARE_ASCII) if t.isascii() else _RARE.search(t) is not None
 
 
 def _pieces(text: str) -> list[str]:
-    parts = text.split(" ")
-    if len(parts) == 1:
-        return parts
-    out, last = [parts[0]], parts[0]
-    for p in parts[1:]:
-        if p and last and not p[0].isspace() and not last[-1].isspace():
+    """The text cut at its safe spaces, each piece with the space before it."""
+    out, last = [], ""
+    for p in text.split(" "):
+        if out and p and last and not p[0].isspace() and not last[-1].isspace():
             out.append(" " + p)
-        else:
+        elif out:
             out[-1] = f"{out[-1]} {p}"
+        else:
+            out.append(p)
         last = p
     return out
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, end_id: int) -> Encoder:
+    if (path, end_id) not in _encoders:
+        _encoders[path, end_id] = Encoder(path, end_id)
+    return _encoders[path, end_id]
 
 
 # -- operators ---------------------------------------------------------------
@@ -226,8 +295,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, c
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, fs, top, out, writer = encoder(vocabulary), None, None, None, None
-        end = np.array([end_id], "<u4").tobytes()
+        enc, fs, top, out, writer = encoder(vocabulary, end_id), None, None, None, None
         name = f"ids-{TaskContext.get().partitionId():06d}.planes"
         for b in batches:
             if not b.num_rows:
@@ -239,9 +307,9 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, c
                 out = fs.open_output_stream(part)
                 writer = PlaneWriter(out, chunk, kind)
             ids = b.column(0).fill_null(NO_ID).to_pylist()
-            for i in range(0, len(ids), 250):
-                coded = [e + end for e in enc.encode(b.column(1).slice(i, 250).to_pylist())]
-                writer.add(ids[i : i + 250], [len(c) // 4 for c in coded], np.frombuffer(b"".join(coded), "<u4"))
+            for i in range(0, len(ids), 500):
+                coded, lens = enc.encode(b.column(1).slice(i, 500).to_pylist())
+                writer.add(ids[i : i + 500], lens.tolist(), coded)
         if writer is not None:
             writer.close()
             out.close()
