@@ -51,9 +51,12 @@ _FOLD[SEPARATOR] = 32
 
 
 def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit word hashes, first word of each text); case and ASCII
-    punctuation don't count."""
+    """(64-bit word hashes, first word of each text); ASCII punctuation and the
+    case of Latin letters, those of Latin-1 too, don't count."""
     data = _FOLD[data]
+    upper = np.flatnonzero(data[:-1] == 0xC3) + 1
+    upper = upper[(data[upper] >= 0x80) & (data[upper] <= 0x9E) & (data[upper] != 0x97)]
+    data[upper] += 0x20
     starts, ends, first = word_bounds(data, at)
     return word_hashes(data, starts, ends), first
 

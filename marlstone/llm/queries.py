@@ -7,16 +7,33 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, near_dedup, sharding, token_store
+from . import decontaminate, exact_dedup, language, mixing, near_dedup, quality, sharding, token_store, toxicity
 from ._common import table
 
 VOCABULARY = "byte_bpe_50k.json"
 
 
+def op1_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_language_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(language.document_evidence(table(spark, sf_dir, "documents")))
+
+
+def pages_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator on raw pages, which declare a language and have an address."""
+    return language.identify(language.page_evidence(table(spark, sf_dir, "pages")))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=16)
 
@@ -29,12 +46,19 @@ def op8_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_digest(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op9_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_mixing, op6_sharding, op7_circulant_minhash, op8_token_planes, op10_exact_dedup)
+    f.__name__: f for f in (
+        op1_quality_cnn, op2_language_evidence, op3_mixing, op5_subword_toxicity, op6_sharding, op7_circulant_minhash, op8_token_planes,
+        op9_latent_decontamination, op10_exact_dedup, pages_language,
+    )
 }
 
 ORACLES: dict[str, str] = {
