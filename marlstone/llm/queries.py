@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, language, mixing, near_dedup, quality, sharding, token_store, toxicity
+from . import decontaminate, exact_dedup, language, mixing, near_dedup, quality, sharding, site_tree, token_store, toxicity
 from ._common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -30,6 +30,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op4_site_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_tree.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -56,7 +60,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_quality_cnn, op2_language_evidence, op3_mixing, op5_subword_toxicity, op6_sharding, op7_circulant_minhash, op8_token_planes,
+        op1_quality_cnn, op2_language_evidence, op3_mixing, op4_site_tree, op5_subword_toxicity, op6_sharding, op7_circulant_minhash, op8_token_planes,
         op9_latent_decontamination, op10_exact_dedup, pages_language,
     )
 }
