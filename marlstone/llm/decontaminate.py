@@ -4,10 +4,12 @@
    that the benchmark has (no other word can add to a match); document
    frequencies are counted over all documents.
 2. Latent space: a randomised decomposition of all passages, side by side.
-   One pass gives Z = X'XO for a fixed random O: each task adds up its own rows
-   of Z, and the sum runs as a grouped aggregation over blocks of terms. From Z
-   and O'Z follow the leading right singular vectors and values (the one-pass
-   scheme for positive matrices, applied to X'X).
+   One pass gives Z = C'CO for the counts C and a fixed random O: each task adds
+   up its own rows of Z, and the sum runs as a grouped aggregation over blocks
+   of terms. With D the diagonal of inverse document frequencies, known only
+   after that pass, X = CD and X'X(O/D) = DZ; from DZ and (O/D)'DZ = O'Z follow
+   the leading right singular vectors and values of X (the one-pass scheme for
+   positive matrices, applied to X'X).
 3. Candidates: cosine between overlapping passages and benchmark items, item
    block by item block, without a cap. The leading directions (topics, function
    words) are damped to the level of the last one kept; what lies outside of
@@ -22,6 +24,7 @@ the common subsequence and are not compared; that loses nothing.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,11 +35,11 @@ from pyspark.sql import functions as F
 from ._common import LOWER, SEPARATOR, arrow_rows, cut, small, steps, utf8_buffers, word_bounds, word_hashes
 
 #: Directions kept, columns of the sketch, columns for what lies outside.
-RANK, SKETCH, OUTSIDE = 32, 40, 64
+RANK, SKETCH, OUTSIDE = 16, 24, 48
 #: Words of a passage and between passages; margin of words in verification.
 WINDOW, STRIDE, MARGIN = 32, 16, 12
 #: Least cosine of a candidate.
-COSINE = 0.35
+COSINE = 0.45
 #: Share of the item's words in the common subsequence: a leak, a paraphrase;
 #: share of the answer's words that a paraphrase must hold.
 EXACT, PARAPHRASE, ANSWER = 0.75, 0.6, 0.75
@@ -98,34 +101,6 @@ def _texts(b: pa.RecordBatch, name: str = "text"):
         yield i, j, h, first
 
 
-def frequencies(docs: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, int]:
-    """(documents that hold a term, documents with words), over all of docs. A
-    task sends a row per term at most."""
-    terms = len(vocabulary)
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n, known = np.zeros(terms, np.int64), 0, shared.value
-        for b in batches:
-            for i, j, h, first in _texts(b):
-                at, t = known.find(h)
-                text = np.searchsorted(first, at, "right") - 1
-                for k in range(0, j - i, 64):  # a table of 64 texts by all terms
-                    x, y = np.searchsorted(text, (k, k + 64))
-                    seen = np.zeros((min(64, j - i - k), terms), bool)
-                    seen[text[x:y] - k, t[x:y]] = True
-                    df += seen.sum(axis=0)
-                n += int((np.diff(first) > 0).sum())
-        held = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(held, -1)), pa.array(np.append(df[held], n))], ["term", "n"])
-
-    t = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row per term and one
-    term, n = t.column("term").to_numpy(), t.column("n").to_numpy()
-    df = np.zeros(terms)
-    df[term[term >= 0]] = n[term >= 0]
-    return df, int(n[term < 0].sum())
-
-
 def omega(terms: int, seed: int = 5) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((terms, SKETCH)).astype(np.float32)
 
@@ -138,49 +113,60 @@ def _heads(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
 
 
-def sketch(docs: DataFrame, vocabulary: Vocabulary, idf: np.ndarray) -> np.ndarray:
-    """X'XO over side-by-side passages of all docs. Blocks of terms are summed
-    apart, so no task holds more than one task's own sketch."""
+def sketch(docs: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, int]:
+    """(C'CO, documents that hold a term, documents with words) over
+    side-by-side passages of all docs. Blocks of terms are summed apart, so no
+    task holds more than one task's own sketch."""
     terms = len(vocabulary)
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, idf.astype(np.float32)))
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, idf = shared.value
-        weighted = omega(terms) * idf[:, None]
-        z = np.zeros((terms, SKETCH), np.float32)
+        known, o = shared.value, omega(terms)
+        z, df, n = np.zeros((terms, SKETCH), np.float32), np.zeros(terms, np.int64), 0
         for b in batches:
-            for _, _, h, first in _texts(b):
+            for i, j, h, first in _texts(b):
+                n += int((np.diff(first) > 0).sum())
                 at, t = known.find(h)
                 if not len(at):
                     continue
                 text = np.searchsorted(first, at, "right") - 1
-                tile = text * (1 << 40) + (at - first[text]) // WINDOW
-                heads = _heads(tile)
-                y = _sums(weighted[t], heads)
+                for k in range(0, j - i, 64):  # a table of 64 texts by all terms
+                    x, y = np.searchsorted(text, (k, k + 64))
+                    seen = np.zeros((min(64, j - i - k), terms), bool)
+                    seen[text[x:y] - k, t[x:y]] = True
+                    df += np.count_nonzero(seen, axis=0)
+                heads = _heads(text * (1 << 40) + (at - first[text]) // WINDOW)
+                y = _sums(o[t], heads)
                 owner = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(t))))
                 order = np.argsort(t.astype(np.int32), kind="stable")
                 ts = t[order]
                 per = _heads(ts)
                 z[ts[per]] += _sums(y[owner[order]], per)
-        z *= idf[:, None]
         for k in range(0, terms, BLOCK_ROWS):
-            block = z[k : k + BLOCK_ROWS]
-            if block.any():
-                yield pa.RecordBatch.from_pydict({"block": pa.array([k], pa.int32()), "z": pa.array([block.tobytes()], pa.binary())})
+            if df[k : k + BLOCK_ROWS].any():
+                yield part(k, z[k : k + BLOCK_ROWS].astype(np.float64), df[k : k + BLOCK_ROWS])
+        yield part(-1, np.zeros(0), np.array([n]))
+
+    def part(block: int, z: np.ndarray, df: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "z": pa.array([z.tobytes()], pa.binary()), "df": pa.array([df.astype(np.int64).tobytes()], pa.binary())})
 
     def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = 0.0
+        z = df = 0
         for b in batches:
-            for raw in b.column("z").to_pylist():
-                total = total + np.frombuffer(raw, np.float32).astype(np.float64)
-        yield pa.RecordBatch.from_pydict({"block": pa.array([key[0].as_py()], pa.int32()), "z": pa.array([total.tobytes()], pa.binary())})
-
-    parts = docs.select("text").mapInArrow(run, "block int, z binary")
-    z = np.zeros((terms, SKETCH))
-    for r in parts.groupBy("block").applyInArrow(add, "block int, z binary").collect():  # SKETCH doubles a term of the benchmark
-        rows = np.frombuffer(r["z"], np.float64).reshape(-1, SKETCH)
-        z[r["block"] : r["block"] + len(rows)] = rows
-    return z
+            for x, y in zip(b.column("z").to_pylist(), b.column("df").to_pylist()):
+                z, df = z + np.frombuffer(x, np.float64), df + np.frombuffer(y, np.int64)
+        yield part(key[0].as_py(), z, df)
+
+    schema = "block int, z binary, df binary"
+    z, df, n = np.zeros((terms, SKETCH)), np.zeros(terms), 0
+    for r in docs.select("text").mapInArrow(run, schema).groupBy("block").applyInArrow(add, schema).collect():  # SKETCH + 1 numbers a term of the benchmark
+        counts = np.frombuffer(r["df"], np.int64)
+        if r["block"] < 0:
+            n = int(counts[0])
+        else:
+            df[r["block"] : r["block"] + len(counts)] = counts
+            z[r["block"] : r["block"] + len(counts)] = np.frombuffer(r["z"], np.float64).reshape(-1, SKETCH)
+    return z, df, n
 
 
 def latent(z: np.ndarray, o: np.ndarray, rank: int = RANK) -> tuple[np.ndarray, np.ndarray]:
@@ -260,11 +246,11 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if not len(h):
         return empty
     vocabulary = Vocabulary(h)
-    df, n = frequencies(docs, vocabulary)
+    z, df, n = sketch(docs, vocabulary)
     if not n:
         return empty
     idf = np.log((n + 1) / (df + 1)) + 0.1
-    v, s = latent(sketch(docs, vocabulary, idf), omega(len(vocabulary)))
+    v, s = latent(z * idf[:, None], omega(len(vocabulary)) / idf[:, None])
     rows = projection(v, s, idf)
     item_words = [h[a:b] for a, b in zip(first[:-1], first[1:])]
     answers = [_answer(t) for t in texts]
@@ -278,10 +264,11 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     run_ = np.concatenate([np.zeros((1, rows.shape[1])), np.cumsum(rows[term], axis=0, dtype=np.float64)])
     q = run_[e] - run_[a]
     q = (q / np.maximum(np.linalg.norm(q, axis=1), 1e-12)[:, None]).astype(np.float32)
-    shared = spark.sparkContext.broadcast((vocabulary, rows, telling, q, owner, a - first[owner], item_words, answers, ids))
+    bags = [Counter(w.tolist()) for w in item_words]
+    shared = spark.sparkContext.broadcast((vocabulary, rows, telling, q, owner, a - first[owner], item_words, bags, answers, ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rows, telling, q, owner, offset, item_words, answers, ids = shared.value
+        known, rows, telling, q, owner, offset, item_words, bags, answers, ids = shared.value
         for b in batches:
             doc_ids, out = b.column("doc_id").to_pylist(), {}
             for i, _, h, first in _texts(b):
@@ -310,7 +297,11 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         lo = int(a[p_]) - int(offset[k_]) - MARGIN
                         hi = lo + len(item_words[m]) + 2 * MARGIN
                         lo, hi = max(lo, int(first[text[p_]])), min(hi, int(first[text[p_] + 1]))
-                        hit, share = is_leak(item_words[m], answers[m], h[lo:hi])
+                        span, bag = h[lo:hi], bags[m]
+                        # words in common, in any order, bound the subsequence
+                        if sum(map(bag.__getitem__, bag.keys() & span.tolist())) < PARAPHRASE * len(item_words[m]):
+                            continue
+                        hit, share = is_leak(item_words[m], answers[m], span)
                         if hit:
                             out[key] = max(out.get(key, 0.0), share)
             yield pa.RecordBatch.from_arrays([pa.array([doc_ids[r] for r, _ in out], pa.int64()), pa.array([ids[m] for _, m in out], pa.int64()), pa.array(list(out.values()), pa.float64())], ["doc_id", "item_id", "share"])
