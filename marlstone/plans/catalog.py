@@ -7,14 +7,18 @@ to ``PLACES`` so that two engines can be compared.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import figures
 from ..operators import alignment, backtest, rolling, structure
-from ..sources import panels
+from ..sources import panels, store, universes
+from . import experiments
 
 PLACES = 7
+TIE = 1.23e-7
 WINDOW, STEP = 104, 26
 LOOKBACK, EVERY = 60, 21
 
@@ -28,7 +32,8 @@ def rounded(df: DataFrame) -> DataFrame:
     for name, kind in df.dtypes:
         c = F.col(f"`{name}`")
         if kind == "double":
-            c = F.round(c, 9 if name == "price" else PLACES) + F.lit(0.0)
+            # prices often end in an exact half, which two engines round apart
+            c = F.round(c + TIE, 4) if name == "price" else F.round(c, PLACES) + F.lit(0.0)
         elif kind.startswith("timestamp"):
             c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
         elif kind == "date":
@@ -65,7 +70,7 @@ def groups(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
 
 
 def r(expr: str, name: str) -> str:
-    return f"round({expr}, {9 if name == 'price' else PLACES}) + 0.0 as {name}"
+    return f"round({expr} + {TIE}, 4) as {name}" if name == "price" else f"round({expr}, {PLACES}) + 0.0 as {name}"
 
 
 def day(c: str = "date") -> str:
@@ -348,3 +353,48 @@ select {r('(g - t * 0.001) / s10 * sqrt(ppy)', 'sharpe_10')}, {r('(g - t * 0.002
   {r('case when g <= 0 then 0.0 when t = 0 then 500.0 * (1 - pow(2.0, -41)) else least(g / t * 1e4, 500.0 * (1 - pow(2.0, -41))) end', 'breakeven_bps')} from mo""",
 )(lambda s, d: backtest.cost_sharpes(backtest.daily(*_momentum(s, d))).select(*(F.col("sharpe_by_cost")[str(c)].alias(f"sharpe_{c}") for c in (10, 25, 50)), "breakeven_bps"))
 query("periods_per_year", f"{_f} select {r('count(distinct date) / ((max(date) - min(date)) / 365.25)', 'periods_per_year')} from rt")(lambda s, d: backtest.periods_per_year(_rt(s, d)))
+
+
+# -- store, universes, experiments, figures ----------------------------------
+
+
+def _bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars from the event stream, with an overlapping restatement."""
+    e = panels.read(spark, sf_dir, "events").select(F.col("event_type").alias("ticker"), F.to_date("ts").alias("date"), "value", "event_id")
+    return e.groupBy("ticker", "date").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.avg("value").alias("close"), F.count("*").cast("double").alias("volume"))
+
+
+_bars_sql = "bars as (select event_type as ticker, cast(ts as date) as date, min(value) as low, max(value) as high, avg(value) as close, count(*)::double as volume from events group by all), cut as (select max(date) - 7 as c from bars)"
+_merged_sql = f"with {_bars_sql}, m as (select ticker, date, low, high, case when date >= c then close * 2 else close end as close, volume from bars cross join cut)"
+
+
+def _restated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = _bars(spark, sf_dir)
+    edge = b.agg(F.date_sub(F.max("date"), 7).alias("c"))
+    tail = b.crossJoin(F.broadcast(edge)).where("date >= c").drop("c").withColumn("close", F.col("close") * 2)
+    return store.merged(b, tail)
+
+
+query("store_upsert", f"{_merged_sql} select ticker, {day()}, {r('low', 'low')}, {r('high', 'high')}, {r('close', 'close')}, {r('volume', 'volume')} from m")(lambda s, d: _restated(s, d).select("ticker", "date", "low", "high", "close", "volume"))
+query("store_coverage", f"{_merged_sql} select ticker, strftime(min(date), '%Y-%m-%d') as start, strftime(max(date), '%Y-%m-%d') as \"end\" from m group by 1")(lambda s, d: store.coverage(_restated(s, d)))
+query("store_summary", f"{_merged_sql}, q as (select distinct ticker from m union all select 'MISSING') select ticker, count(date) as rows, strftime(min(date), '%Y-%m-%d') as start, strftime(max(date), '%Y-%m-%d') as \"end\" from q left join m using (ticker) group by 1")(
+    lambda s, d: store.summary(_restated(s, d), _restated(s, d).select("ticker").distinct().union(s.createDataFrame([("MISSING",)], "ticker string"))))
+query("fetch_starts", f"{_merged_sql}, q as (select distinct ticker from m union all select 'MISSING') select ticker, strftime(case when max(date) is null or min(date) > date '2024-01-10' then date '2024-01-10' else max(date) - 7 end, '%Y-%m-%d') as fetch_start from q left join m using (ticker) group by 1")(
+    lambda s, d: store.fetch_starts(_restated(s, d).select("ticker").distinct().union(s.createDataFrame([("MISSING",)], "ticker string")), _restated(s, d), "2024-01-10"))
+query("file_stems", "select c_name as name, regexp_replace(upper(trim(c_name)), '[^A-Z0-9]+', '_', 'g') as stem from customer")(lambda s, d: panels.read(s, d, "customer").select(F.col("c_name").alias("name"), store.file_stem(F.col("c_name")).alias("stem")))
+query("universe_groups", "select universe, grp, n from (values " + ", ".join(f"('{u.key}', '{g}', {list(u.groups.values()).count(g)}::bigint)" for u in universes.UNIVERSES.values() for g in dict.fromkeys(u.groups.values())) + ") t(universe, grp, n)")(
+    lambda s, d: reduce(DataFrame.union, (u.table(s) for u in universes.UNIVERSES.values())).groupBy("universe", "grp").agg(F.count("*").alias("n")))
+
+_GRID = (experiments.Cell("60d", "momentum", 60), experiments.Cell("managed_60d", "managed", 60, 1.0), experiments.Cell("low_60d", "low_long", 60), experiments.Cell("low_60d_ls", "low_short", 60))
+query("experiment_explore")(lambda s, d: experiments.explore(_rt(s, d), "PN-F", _GRID, "A"))
+query("experiment_holdout")(lambda s, d: experiments.holdout(_rt(s, d), "PN-F", _GRID, experiments.explore(_rt(s, d), "PN-F", _GRID, "A").select("variant"), experiments.HOLDOUT_T["momentum"], "A"))
+query("figure_heatmap")(lambda s, d: figures.heatmap(_matrix(s, d, "PN-S", "ledoit_wolf")))
+query("figure_spectrum")(lambda s, d: figures.spectrum_series(_matrix(s, d, "PN-S", "rmt_clipped")))
+
+
+@query("figure_network_nodes")
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _built(spark, sf_dir, "ledoit_wolf")
+    last = t["layouts"].agg(F.max("window_end").alias("window_end"))
+    lay, e = t["layouts"].join(last, "window_end"), t["edges"].join(last, "window_end")
+    return figures.network(e, lay, groups(spark, sf_dir, "PN-S"))[1]
