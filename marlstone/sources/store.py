@@ -116,7 +116,7 @@ def equity_bars(landed: DataFrame) -> DataFrame:
 def crypto_bars(landed: DataFrame) -> DataFrame:
     """Bars from landed payloads whose first element holds the days; adjusted
     close is the close, there are no dividends and no splits."""
-    rows = landed.select("ticker", "ord", F.posexplode(F.from_json("payload", _CRYPTO)[0]["priceData"]).alias("k", "d"))
+    rows = landed.select("ticker", "ord", F.posexplode(F.get(F.from_json("payload", _CRYPTO), F.lit(0))["priceData"]).alias("k", "d"))
     return normalise(
         rows.select("ticker", F.struct("ord", "k").alias("ord"), F.to_date(F.substring("d.date", 1, 10)).alias("date"), *(F.col(f"d.{c}").alias(c) for c in ("open", "high", "low", "close", "volume")), F.col("d.close").alias("adj_close"), F.lit(0.0).alias("div_cash"), F.lit(1.0).alias("split_factor"))
     )
