@@ -251,7 +251,10 @@ def near_dedup(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = D
     rooted = feats.join(small(comps), "node", "left").select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("comp", "node")).alias("root"))
     rooted = cut(rooted, "rooted")
     least = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("k")).where("k > 1").drop("k")
-    out = rooted.join(least, "root", "left").withColumn("component_id", F.coalesce("least", "doc_id"))
+    # a table of its own, so that the join is not tied to the aggregate's
+    # partitions and large groups can be broken up
+    least = cut(least, "least")
+    out = rooted.join(small(least), "root", "left").withColumn("component_id", F.coalesce("least", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
