@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: Rows of an Arrow batch; documents are a few KB, so a batch stays in tens of MB.
 ARROW_ROWS = 1000
 #: Bytes of text that one numpy step handles; temporaries are about 60 times as large.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -63,19 +63,15 @@ def water_fill(sources: DataFrame, share: float = SHARE, max_epochs: float = MAX
     return sources.withColumn("target", F.least(cap, F.lit(level or 0.0) * F.col("weight")))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies: one row per row of docs.
+def draw_of(doc_id: Column, seed: int) -> Column:
+    """The seeded lot of a document; that of a null identifier is of the empty text."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
 
-    size: words of the text (null: 0). Sources by code point, the null source
-    last, have the weights in turn, repeating. Within a source the seeded order
-    (MD5 of seed and identifier, then identifier and size) decides which
-    documents the fraction takes, so reruns agree; rows that agree in
-    identifier, source and size may swap places. A null identifier hashes as
-    empty. A source of only empty texts has target 0. An empty table gives an
-    empty one. Other columns are not read.
-    """
+
+def _taken(docs: DataFrame, weights: tuple[int, ...], share: float, max_epochs: int, seed: int) -> DataFrame:
+    """(doc_id, source, size, draw, source_size, target, whole, extra) of every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
-    rows = cut(rows.withColumn("draw", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))), "sizes")
+    rows = cut(rows.withColumn("draw", draw_of(F.col("doc_id"), seed)), "sizes")
     by_source = [F.col("source").asc_nulls_last()]
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources = running(sources, by_source, "source_size", "sources")
@@ -87,18 +83,37 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     goal = F.col("target") - F.col("whole") * F.col("source_size")
     extra = (F.lit(2) * (F.col("before") - F.col("base")) + F.col("size") <= F.lit(2.0) * goal) & (goal > 0)
-    return both.withColumn("whole", whole).withColumn("copies", (F.col("whole") + F.when(extra, 1).otherwise(0)).cast("int")).select(
-        "doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("size") * F.col("copies")).alias("taken"), "copies",
-    )
+    return both.withColumn("whole", whole.cast("int")).withColumn("extra", F.when(extra, 1).otherwise(0))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies: one row per row of docs.
 
+    size: words of the text (null: 0). Sources by code point, the null source
+    last, have the weights in turn, repeating. Within a source the seeded order
+    (MD5 of seed and identifier, then identifier and size) decides which
+    documents the fraction takes, so reruns agree; rows that agree in
+    identifier, source and size may swap places. A null identifier hashes as
+    empty. A source of only empty texts has target 0. An empty table gives an
+    empty one. Other columns are not read.
+    """
+    copies = F.col("whole") + F.col("extra")
+    return _taken(docs, weights, share, max_epochs, seed).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("size") * copies).alias("taken"), copies.alias("copies"))
 
-def mix_pipeline(docs: DataFrame) -> DataFrame:
+
+def mix_pipeline(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """The rows of docs as often as the mix takes them, columns as in docs.
-    A row is matched by identifier; rows that repeat an identifier are taken as
-    often as its rows are on average, rounded down, and at least once if any is."""
-    copies = mix(docs).groupBy("doc_id").agg(F.floor(F.avg("copies")).cast("int").alias("c"), F.max("copies").alias("m"))
-    copies = cut(copies.select(F.col("doc_id").alias("id_"), F.greatest("c", F.least("m", F.lit(1))).alias("copies_")).where("copies_ > 0"), "copies")
-    return docs.join(small(copies), docs["doc_id"].eqNullSafe(F.col("id_"))).withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies_")))).select(*docs.columns)
+
+    The rows that a source's fraction takes come first in its seeded order, so
+    the last of them says which these are: a row per source decides, and no
+    text is shuffled. Rows that repeat the last one's identifier are all taken.
+    """
+    lot = lambda c: F.struct(draw_of(c, seed).alias("draw"), F.coalesce(c.cast("long"), F.lit(-(1 << 63))).alias("id"))
+    last = _taken(docs, weights, share, max_epochs, seed).groupBy("source").agg(F.max("whole").alias("whole_"), F.max(F.when(F.col("extra") == 1, lot(F.col("doc_id")))).alias("last_"))
+    last = cut(last.withColumnRenamed("source", "source_"), "lots")
+    both = docs.join(small(last), docs["source"].cast("string").eqNullSafe(F.col("source_")))
+    copies = F.col("whole_") + F.when(F.col("last_").isNotNull() & (lot(docs["doc_id"]) <= F.col("last_")), 1).otherwise(0)
+    return both.withColumn("copies_", copies).where("copies_ > 0").withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies_")))).select(*docs.columns)
 
 
 ORACLE = f"""

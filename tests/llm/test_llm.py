@@ -497,3 +497,15 @@ def test_pipeline(spark, leaks, tmp_path):
     assert kept[3] <= kept[2] and kept[4] == kept[3]
     assert {r["shard"] for r in now.collect()} <= set(range(16))
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == kept[4]
+
+
+def test_mixing_rows(docs):
+    """The pipeline's rows are those that the mix counts."""
+    want = {}
+    for r in mixing.mix(docs).collect():
+        want[r["doc_id"]] = want.get(r["doc_id"], 0) + r["copies"]
+    out = mixing.mix_pipeline(docs)
+    assert out.columns == docs.columns
+    got = {r["doc_id"]: r["count"] for r in out.groupBy("doc_id").count().collect()}
+    repeated = {d for d in want if d is None or sum(r["doc_id"] == d for r in docs.select("doc_id").collect()) > 1}
+    assert {d: n for d, n in want.items() if n and d not in repeated} == {d: n for d, n in got.items() if d not in repeated}
