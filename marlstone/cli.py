@@ -82,7 +82,7 @@ def _tables(spark: SparkSession, a: argparse.Namespace) -> tuple[dict, alignment
 
 def cmd_diagnose(spark: SparkSession, a: argparse.Namespace) -> int:
     t, _, _, groups = _tables(spark, a)
-    w = rolling.diagnostic_windows(t["matrices"], t["edges"].drop("window_id"), groups)
+    w = rolling.diagnostic_windows(t["matrices"], groups)
     rolling.diagnostic_summary(w, [c for c in w.columns if c != "window_end"]).show(50, truncate=False)
     return 0
 

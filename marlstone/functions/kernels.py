@@ -128,7 +128,7 @@ def distance(c: np.ndarray) -> np.ndarray:
 
 def spanning_tree(d: np.ndarray) -> list[tuple[int, int, float]]:
     """Minimum spanning tree of the complete graph, zero distances included;
-    ties by the places of the two ends. Prim's method on rows."""
+    ties by the places of the two ends."""
     n = len(d)
     if n == 0 or d.shape != (n, n) or np.isnan(d).any():
         raise ValueError("a distance matrix is square, complete and not empty")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,23 +25,79 @@ def hopping(returns: DataFrame, window: int = 252, step: int = 5) -> DataFrame:
     return rows.join(F.broadcast(ends), "window_id")
 
 
+def rolling_matrices(returns: DataFrame, window: int = 252, step: int = 5, estimator: str = "rmt_clipped", method: str = "average", n_clusters: int | None = None, fraction: float = 0.2, keep_matrix: bool = True) -> DataFrame:
+    """window_id, window_start, window_end and structure.MATRIX_SCHEMA of every
+    window.
+
+    Dates travel as one vector each, and windows are worked on in chunks of
+    consecutive ones, as many as overlap: a date is sent about twice, where
+    sending each window its own rows would send it window / step times.
+    """
+    structure.check_estimator(estimator)
+    chunk = max(1, -(-window // step))
+    kind = dict(returns.dtypes)["date"]
+    placed = positions(returns)
+    days = placed.groupBy("pos", "date").agg(F.array_sort(F.collect_list(F.struct("asset", "ret"))).alias("v"))
+    last = placed.agg(F.floor((F.max("pos") + 1 - window) / step).cast("int").alias("k_"))
+    first = F.greatest(F.lit(0), F.ceil((F.col("pos") - window + 1) / step).cast("int"))
+    most = F.least(F.col("k_"), F.floor(F.col("pos") / step).cast("int"))
+    rows = days.crossJoin(F.broadcast(last)).where(first <= most)
+    rows = rows.select("pos", "date", "k_", "v.asset", "v.ret", F.explode(F.sequence(F.floor(first / chunk).cast("int"), F.floor(most / chunk).cast("int"))).alias("chunk"))
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("pos")
+        names, x, dates, pos0 = list(rows["asset"].iloc[0]), np.stack(rows["ret"].to_list()), rows["date"].to_list(), int(rows["pos"].iloc[0])
+        out = []
+        for k in range(key[0] * chunk, min((key[0] + 1) * chunk - 1, int(rows["k_"].iloc[0])) + 1):
+            a = k * step - pos0
+            out.append({"window_id": k, "window_start": dates[a], "window_end": dates[a + window - 1], **structure.measures(x[a : a + window], names, estimator, method, n_clusters, fraction, keep_matrix)})
+        return structure.measure_frame(out, ["window_id", "window_start", "window_end"])
+
+    return rows.groupBy("chunk").applyInPandas(run, f"window_id int, window_start {kind}, window_end {kind}, {structure.MATRIX_SCHEMA}")
+
+
 def windows_table(returns: DataFrame, groups: DataFrame, window: int = 252, step: int = 5, estimator: str = "rmt_clipped") -> dict[str, DataFrame]:
     """windows, edges and layouts of every window. The matrix stage is cached:
     it has one row per window, and every table comes from it."""
-    rows = hopping(returns, window, step)
-    m = structure.matrices(rows.select("window_id", "window_start", "window_end", "date", "asset", "ret"), ["window_id", "window_start", "window_end"], estimator).cache()
+    m = rolling_matrices(returns, window, step, estimator, keep_matrix=False).cache()
     edges = m.select("window_id", "window_end", F.inline("edges"))
-    return {"matrices": m, "edges": edges, "windows": summarise(m, edges, groups), "layouts": layouts(edges)}
-
-
-def summarise(m: DataFrame, edges: DataFrame, groups: DataFrame) -> DataFrame:
-    """The wide row of each window, with tree, purity, hub and survival."""
-    key = ["window_end"]
-    e = edges.select("window_end", "source", "target", "distance")
-    scalars = m.select("window_end", "window_start", "n_assets", "n_obs", "q", "mean_correlation", "absorption_ratio", "pc1_share", "effective_dimension", "n_factors", "lambda_plus", "sigma_squared", "shrinkage", "condition_number", "cophenetic", "depth_ratio")
-    out = scalars.join(structure.tree_length(e, key).drop("n_edges"), key).join(structure.hub(e, key).drop("degree"), key)
-    out = out.join(structure.group_purity(e, groups, key).select("window_end", "purity", F.col("lift").alias("purity_lift")), key, "left")
-    return out.join(structure.edge_survival(e, "window_end"), key)
+    return {"matrices": m, "edges": edges, "windows": summarise(m, groups), "layouts": layouts(edges)}
+
+
+def summarise(m: DataFrame, groups: DataFrame) -> DataFrame:
+    """The wide row of each window, with tree, purity, hub and survival.
+
+    A window's edges are an array of its row, so all of these are expressions
+    on that row; survival looks one row back. groups (asset, grp) is a small
+    dimension and comes along as one map.
+    """
+    label = groups.where("grp is not null").groupBy("asset").agg(F.min("grp").alias("grp")).agg(F.map_from_entries(F.collect_list(F.struct("asset", "grp"))).alias("label"))
+    d = m.crossJoin(F.broadcast(label))
+    name = lambda x: F.concat_ws("\u0001", x["source"], x["target"])
+    of = lambda a: F.try_element_at("label", a)
+    degree = lambda a: F.size(F.filter("edges", lambda x: (x["source"] == a) | (x["target"] == a)))
+    mean = lambda xs: F.try_divide(F.aggregate(xs, F.lit(0.0), lambda s, x: s + x), F.size(xs).cast("double"))
+    known = F.filter("edges", lambda x: of(x["source"]).isNotNull() & of(x["target"]).isNotNull())
+    marks = F.filter(F.transform("assets", of), lambda g: g.isNotNull())
+    d = d.withColumns({
+        "tree_length": mean(F.transform("edges", lambda x: x["distance"])),
+        "top": F.array_max(F.transform("assets", lambda a, i: F.struct(degree(a).alias("degree"), (-i).alias("place")))),
+        "purity": mean(F.transform(known, lambda x: (of(x["source"]) == of(x["target"])).cast("double"))),
+        "marks": marks,
+        "kept": F.transform("edges", name),
+    })
+    n = F.size("marks").cast("double")
+    same = F.aggregate(F.transform("marks", lambda g: F.size(F.filter("marks", lambda h: h == g)) - 1), F.lit(0), lambda s, x: s + x)
+    base = F.try_divide(same.cast("double"), n * (n - 1))
+    before = Window.orderBy("window_end")  # a row per window
+    d = d.withColumns({"baseline": base, "old": F.lag("kept").over(before), "was": F.lag("assets").over(before)})
+    d = d.withColumn("shared", F.array_intersect("assets", "was"))
+    d = d.withColumn("old", F.filter("old", lambda x: F.array_contains("shared", F.split(x, "\u0001")[0]) & F.array_contains("shared", F.split(x, "\u0001")[1])))
+    survival = F.when(F.col("was").isNotNull() & (F.size("shared") >= 2) & (F.size("old") > 0), F.size(F.array_intersect("kept", "old")) / F.size("old"))
+    return d.select(
+        "window_end", "window_start", "n_assets", "n_obs", "q", "mean_correlation", "absorption_ratio", "pc1_share", "effective_dimension", "n_factors", "lambda_plus", "sigma_squared", "shrinkage", "condition_number", "cophenetic", "depth_ratio",
+        "tree_length", F.get("assets", -F.col("top.place")).alias("hub"), "purity", F.when(F.col("baseline") > 0, F.col("purity") / F.col("baseline")).alias("purity_lift"), survival.alias("edge_survival"),
+    )
 
 
 def cluster_stability(m: DataFrame) -> DataFrame:
@@ -52,8 +109,8 @@ def cluster_stability(m: DataFrame) -> DataFrame:
     return structure.adjusted_rand(c, prev, ["window_end"]).withColumnRenamed("ari", "cluster_stability")
 
 
-def diagnostic_windows(m: DataFrame, edges: DataFrame, groups: DataFrame) -> DataFrame:
-    w = summarise(m, edges, groups).select("window_end", "mean_correlation", "absorption_ratio", "pc1_share", "effective_dimension", "tree_length", "cophenetic", "depth_ratio", "edge_survival", "purity", "purity_lift")
+def diagnostic_windows(m: DataFrame, groups: DataFrame) -> DataFrame:
+    w = summarise(m, groups).select("window_end", "mean_correlation", "absorption_ratio", "pc1_share", "effective_dimension", "tree_length", "cophenetic", "depth_ratio", "edge_survival", "purity", "purity_lift")
     return w.join(cluster_stability(m), "window_end", "left")
 
 
@@ -108,13 +165,14 @@ def layouts(edges: DataFrame, seed: int = 7, cold: int = 300, warm: int = 12) ->
             names = sorted(set(tree["source"]) | set(tree["target"]))
             at = {x: k for k, x in enumerate(names)}
             e = [(at[s], at[t], d) for s, t, d in zip(tree["source"], tree["target"], tree["distance"])]
-            pos = kernels.spring_layout(e, len(names), seed, rounds=cold)
             if last:
-                start = pos.copy()
+                start = np.random.default_rng(seed).random((len(names), 2)) * 2 - 1  # for those that are new
                 for x, k in at.items():
                     if x in last:
                         start[k] = last[x]
                 pos = kernels.spring_layout(e, len(names), seed, start, warm)
+            else:
+                pos = kernels.spring_layout(e, len(names), seed, rounds=cold)
             last = {x: pos[k] for x, k in at.items()}
             out += [(end, x, float(pos[k][0]), float(pos[k][1])) for x, k in at.items()]
         return pd.DataFrame(out, columns=["window_end", "ticker", "x", "y"])

@@ -244,38 +244,46 @@ merges array<struct<left:int,right:int,height:double,size:int>>, edges array<str
 hrp array<double>, ivp array<double>"""
 
 
+def measures(x: np.ndarray, names: list[str], estimator: str, method: str, n_clusters: int | None, fraction: float, keep_matrix: bool = True) -> dict:
+    """MATRIX_SCHEMA's values for one complete panel, observations by assets."""
+    t, n = x.shape
+    c, info = kernels.estimate(x, estimator)
+    d, w = kernels.distance(c), kernels.spectrum(c)
+    out = {"n_assets": n, "n_obs": t, "q": n / t, "mean_correlation": info["mean_correlation"], "absorption_ratio": kernels.absorption_ratio(w, fraction=fraction), "pc1_share": float(w[0] / w.sum()), "effective_dimension": kernels.effective_dimension(w)}
+    out |= {k: info.get(k) for k in ("n_factors", "lambda_plus", "sigma_squared", "shrinkage", "condition_number")}
+    out |= {"spectrum": w.tolist(), "assets": names, "matrix": c.tolist() if keep_matrix else None}
+    sd = x.std(axis=0, ddof=1)
+    cov = c * sd * sd[:, None]
+    out["ivp"] = kernels.inverse_variance(cov).tolist()
+    if n > 1:
+        z = kernels.linkage(d, method)
+        order = kernels.leaf_order(z)
+        out |= {"cophenetic": kernels.cophenetic_correlation(d, z), "depth_ratio": kernels.depth_ratio(z), "leaf_order": [names[i] for i in order], "clusters": kernels.flat_clusters(z, n_clusters or max(2, min(8, n // 4)))}
+        out |= {"merges": [{"left": int(a), "right": int(b), "height": float(h), "size": int(s)} for a, b, h, s in z], "hrp": kernels.risk_parity(cov, order).tolist()}
+        out["edges"] = [{"source": names[i], "target": names[j], "distance": v} for i, j, v in kernels.spanning_tree(d)]
+    return out
+
+
+def measure_frame(rows: list[dict], keys: list[str]) -> pd.DataFrame:
+    """One line per dict, NaN as null, in the order of keys and MATRIX_SCHEMA."""
+    return pd.DataFrame(rows).reindex(columns=[*keys, *MATRIX_FIELDS]).replace({np.nan: None})
+
+
+def check_estimator(estimator: str) -> None:
+    if estimator not in kernels.ESTIMATORS:
+        raise ValueError(f"unknown estimator {estimator!r}; known: {', '.join(kernels.ESTIMATORS)}")
+
+
 def matrices(returns: DataFrame, by: list[str], estimator: str = "rmt_clipped", method: str = "average", n_clusters: int | None = None, fraction: float = 0.2) -> DataFrame:
     """One row per group with every quantity that needs the dense matrix (see
-    MATRIX_SCHEMA). Groups must be complete panels; a group's rows are its
-    window, so a task holds a window at a time."""
+    MATRIX_SCHEMA). Groups must be complete panels; a task holds one at a time."""
+    check_estimator(estimator)
     kinds = dict(returns.dtypes)
-    if estimator not in kernels.ESTIMATORS:
-        raise ValueError(f"unknown estimator {estimator!r}; known: {', '.join(kernels.ESTIMATORS)}")
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         wide = rows.pivot(index="date", columns="asset", values="ret").sort_index()
-        names, x = list(wide.columns), wide.to_numpy(float)
-        t, n = x.shape
-        c, info = kernels.estimate(x, estimator)
-        d = kernels.distance(c)
-        w = kernels.spectrum(c)
-        out = {"n_assets": n, "n_obs": t, "q": n / t, "mean_correlation": info["mean_correlation"], "absorption_ratio": kernels.absorption_ratio(w, fraction=fraction), "pc1_share": float(w[0] / w.sum()), "effective_dimension": kernels.effective_dimension(w)}
-        out |= {k: info.get(k) for k in ("n_factors", "lambda_plus", "sigma_squared", "shrinkage", "condition_number")}
-        out |= {"spectrum": w.tolist(), "assets": names, "matrix": c.tolist()}
-        sd = x.std(axis=0, ddof=1)
-        cov = c * sd * sd[:, None]
-        out["ivp"] = kernels.inverse_variance(cov).tolist()
-        if n > 1:
-            z = kernels.linkage(d, method)
-            order = kernels.leaf_order(z)
-            k = n_clusters or max(2, min(8, n // 4))
-            out |= {"cophenetic": kernels.cophenetic_correlation(d, z), "depth_ratio": kernels.depth_ratio(z), "leaf_order": [names[i] for i in order], "clusters": kernels.flat_clusters(z, k)}
-            out |= {"merges": [{"left": int(a), "right": int(b), "height": float(h), "size": int(s)} for a, b, h, s in z], "hrp": kernels.risk_parity(cov, order).tolist()}
-            out["edges"] = [{"source": names[i], "target": names[j], "distance": v} for i, j, v in kernels.spanning_tree(d)]
-        frame = pd.DataFrame([{**dict(zip(by, key)), **out}])
-        return frame.reindex(columns=[*by, *fields]).replace({np.nan: None})
-
-    fields = [f.strip().split()[0] for f in _top_level(MATRIX_SCHEMA)]
+        return measure_frame([{**dict(zip(by, key)), **measures(wide.to_numpy(float), list(wide.columns), estimator, method, n_clusters, fraction)}], by)
+
     return returns.select(*by, "date", "asset", "ret").groupBy(*by).applyInPandas(run, ", ".join([*(f"{c} {kinds[c]}" for c in by), MATRIX_SCHEMA]))
 
 
@@ -290,3 +298,6 @@ def _top_level(schema: str) -> list[str]:
         else:
             now += ch
     return [*out, now]
+
+
+MATRIX_FIELDS = [f.strip().split()[0] for f in _top_level(MATRIX_SCHEMA)]

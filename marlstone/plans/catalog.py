@@ -300,7 +300,7 @@ query("allocation_sensitivity")(lambda s, d: rolling.allocation(_built(s, d, "le
 @query("diagnostic_summary")
 def _diagnose(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _built(spark, sf_dir, "ledoit_wolf")
-    w = rolling.diagnostic_windows(t["matrices"], t["edges"].drop("window_id"), groups(spark, sf_dir, "PN-S"))
+    w = rolling.diagnostic_windows(t["matrices"], groups(spark, sf_dir, "PN-S"))
     return rolling.diagnostic_summary(w, [c for c in w.columns if c != "window_end"])
 
 

@@ -80,6 +80,14 @@ def test_windows(spark, data):
     w = t["windows"].orderBy("window_end").collect()
     assert len(w) == 6 and w[0]["edge_survival"] is None and all(0 <= r["edge_survival"] <= 1 for r in w[1:])
     assert t["edges"].groupBy("window_end").count().where("count <> 7").count() == 0
+    e = t["edges"]
+    lengths = {r["window_end"]: r["tree_length"] for r in structure.tree_length(e, ["window_end"]).collect()}
+    tops = {r["window_end"]: r["hub"] for r in structure.hub(e, ["window_end"]).collect()}
+    pure = {r["window_end"]: (r["purity"], r["lift"]) for r in structure.group_purity(e, groups, ["window_end"]).collect()}
+    kept = {r["window_end"]: r["edge_survival"] for r in structure.edge_survival(e, "window_end").collect()}
+    for r in w:
+        assert r["tree_length"] == pytest.approx(lengths[r["window_end"]]) and r["hub"] == tops[r["window_end"]] and r["edge_survival"] == kept[r["window_end"]]
+        assert (r["purity"], r["purity_lift"]) == pytest.approx(pure[r["window_end"]])
     c, _ = kernels.estimate(x[20:80], "ledoit_wolf")
     assert w[1]["mean_correlation"] == pytest.approx(c[~np.eye(8, dtype=bool)].mean())
     one = rolling.correlation_at(rt, str(w[1]["window_end"]), 60, "ledoit_wolf").first()
@@ -95,7 +103,8 @@ def test_windows(spark, data):
     assert len(s) == 5 and all(-1 <= r["cluster_stability"] <= 1 for r in s)
     d = rolling.layout_drift(t["layouts"]).orderBy("window_end").collect()
     assert d[0]["layout_drift"] is None and all(r["layout_drift"] >= 0 for r in d[1:])
-    m = t["matrices"].where("window_id = 0")
+    m = rolling.rolling_matrices(rt, 60, 20, "ledoit_wolf").where("window_id = 1")
+    assert np.allclose(np.array(m.first()["matrix"]), c) and rolling.rolling_matrices(rt, 60, 7).count() == (160 - 60) // 7 + 1
     assert figures.heatmap(m).count() == 64 and figures.spectrum_series(m).count() == 8
     last = t["layouts"].where(f"window_end = '{w[-1]['window_end']}'")
     seg, nodes = figures.network(t["edges"].where(f"window_end = '{w[-1]['window_end']}'"), last, groups)
