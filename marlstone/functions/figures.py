@@ -56,3 +56,22 @@ def spectrum_series(matrices: DataFrame) -> DataFrame:
 
 def events_between(events: DataFrame, start: str, end: str) -> DataFrame:
     return events.where(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+
+
+def at_window(table: DataFrame, window_end: str) -> DataFrame:
+    """Rows of one window of an edges or layouts table, without the key."""
+    return table.where(F.col("window_end").cast("date") == F.lit(window_end).cast("date")).drop("window_end")
+
+
+def window_ends(windows: DataFrame) -> DataFrame:
+    return windows.select("window_end").distinct().orderBy("window_end")
+
+
+def frames(windows: DataFrame, start: str, end: str, stride: int = 2) -> DataFrame:
+    """window_end, frame and peak of every ``stride``-th window from start to
+    end; the peak is the frame of the largest absorption ratio."""
+    inside = windows.where(F.col("window_end").cast("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    k = F.row_number().over(Window.orderBy("window_end")) - 1
+    kept = inside.select("window_end", "absorption_ratio", k.alias("k")).where(F.col("k") % stride == 0)
+    top = Window.partitionBy(F.lit(1)).orderBy(F.desc("absorption_ratio"), "window_end")
+    return kept.select("window_end", (F.col("k") / stride).cast("int").alias("frame"), (F.row_number().over(top) == 1).alias("peak"))

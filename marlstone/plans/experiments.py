@@ -83,3 +83,27 @@ def holdout(returns: DataFrame, universe: str, grid: tuple[Cell, ...], names: Da
     found = cells(alignment.split(returns, fraction)[1], universe, grid, single).join(names.select("variant").distinct(), "variant", "left_semi")
     verdict = F.col("beats_benchmarks") & F.coalesce(F.abs("t_statistic") > bar, F.lit(False)) & F.coalesce(F.col("sharpe") > 0, F.lit(False))
     return found.withColumn("verdict", F.when(verdict, "survives").otherwise("fails"))
+
+
+# fixed values: universe, first day and single-asset benchmark of each grid
+MOMENTUM_UNIVERSES = {"crypto_core": ("2019-01-01", "BTCUSD"), "crypto_majors": ("2021-09-01", "BTCUSD"), "sector_etfs": ("2018-07-01", None), "cross_asset": ("2008-01-01", "SPY"), "core_equity": ("2000-01-01", None)}
+MANAGED_UNIVERSES = {"core_equity": ("2000-01-01", None), "cross_asset": ("2008-01-01", "SPY"), "crypto_core": ("2019-01-01", "BTCUSD")}
+LOW_UNIVERSES = {"core_equity": ("2000-01-01", None)}
+# fixed values: target volatility of each universe
+TARGETS = {"core_equity": 0.15, "cross_asset": 0.10, "crypto_core": 0.50, "crypto_majors": 0.50, "sector_etfs": 0.15}
+#: Significance of a cell: 0.05 over the cells of its own programme.
+MOMENTUM_ALPHA = 0.05 / (len(MOMENTUM_UNIVERSES) * len(MOMENTUM))
+VOLATILITY_ALPHA = 0.05 / (len(MANAGED_UNIVERSES) * len(MANAGED) + len(LOW_UNIVERSES) * len(LOW))
+
+
+def grid_of(universe: str, kind: str) -> tuple[Cell, ...]:
+    """The cells of a universe in the momentum or the volatility programme."""
+    if kind == "momentum":
+        return MOMENTUM if universe in MOMENTUM_UNIVERSES else ()
+    managed = tuple(Cell(c.name, c.kind, c.length, TARGETS[universe]) for c in MANAGED) if universe in MANAGED_UNIVERSES else ()
+    return managed + (LOW if universe in LOW_UNIVERSES else ())
+
+
+def save(found: DataFrame, path: str) -> None:
+    """Cells as lines of JSON in one file."""
+    found.coalesce(1).write.mode("overwrite").json(path)

@@ -101,3 +101,12 @@ def test_experiment(data):
     want = B.stats(B.run(rt, B.momentum_weights(rt, 60, 21))).first()
     assert got["60d"]["sharpe"] == pytest.approx(want["sharpe"]) and got["60d"]["sharpe_25"] == pytest.approx(want["sharpe"])
     assert got["l"]["passes_kill"] == (got["l"]["sharpe"] >= 0.3)
+
+
+def test_grids(data, tmp_path):
+    assert len(experiments.grid_of("core_equity", "volatility")) == 6 and experiments.grid_of("core_equity", "volatility")[0].target == 0.15
+    assert sum(len(experiments.grid_of(u, "volatility")) for u in experiments.TARGETS) == 10 and sum(len(experiments.grid_of(u, "momentum")) for u in experiments.TARGETS) == 15
+    found = experiments.cells(data[1], "demo", (experiments.Cell("60d", "momentum", 60),))
+    experiments.save(found, f"{tmp_path}/cells")
+    assert data[1].sparkSession.read.json(f"{tmp_path}/cells").first()["variant"] == "60d"
+    assert experiments.survivors(found, True).count() <= experiments.survivors(found, False).count() <= 1

@@ -115,3 +115,10 @@ def test_identical_trees_do_not_drift(spark):
     e = spark.createDataFrame([(w, f"T{k}", f"T{k + 1}", 1.0) for w in (1, 2) for k in range(7)], "window_end int, source string, target string, distance double")
     d = {r["window_end"]: r["layout_drift"] for r in rolling.layout_drift(rolling.layouts(e)).collect()}
     assert d[1] is None and d[2] < 0.05
+
+
+def test_frames(spark):
+    w = spark.createDataFrame([(f"2020-01-{k:02d}", float(k % 4)) for k in range(1, 11)], "window_end string, absorption_ratio double")
+    got = [(r["window_end"], r["frame"], r["peak"]) for r in figures.frames(w, "2020-01-02", "2020-01-09").orderBy("frame").collect()]
+    assert got == [("2020-01-02", 0, True), ("2020-01-04", 1, False), ("2020-01-06", 2, False), ("2020-01-08", 3, False)]
+    assert figures.at_window(w, "2020-01-03").collect()[0].asDict() == {"absorption_ratio": 3.0} and figures.window_ends(w).count() == 10
