@@ -112,9 +112,9 @@ def identify(rows: DataFrame, languages: tuple[str, ...] = LANGUAGES, least: flo
     is that of the whole corpus. A null text, or one without a letter, has the
     language "und" and is not accepted; so has a text that suits no language
     better than the background. accepted: a language of ``languages`` with a
-    posterior of at least ``least``. The longer of ties in posterior: the
-    first language in the given order. An empty table gives an empty one. Key
-    columns must not be named like those above.
+    posterior of at least ``least``. Of equal posteriors the first language in
+    the given order counts. An empty table gives an empty one. Key columns must
+    not be named like those above.
     """
     spark = rows.sparkSession
     arrow_rows(spark)
@@ -123,7 +123,7 @@ def identify(rows: DataFrame, languages: tuple[str, ...] = LANGUAGES, least: flo
     counts = trigram_counts(rows, languages)
     p = (counts + SMOOTH) / (counts.sum(axis=1, keepdims=True) + SMOOTH * counts.shape[1])
     table = np.vstack([np.log(p), np.full((1, counts.shape[1]), -np.log(counts.shape[1]))]).astype(np.float32)
-    shared = spark.sparkContext.broadcast(np.ascontiguousarray(table.T))
+    shared = spark.sparkContext.broadcast(table)
 
     def likelihood(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs = shared.value
@@ -137,9 +137,11 @@ def identify(rows: DataFrame, languages: tuple[str, ...] = LANGUAGES, least: flo
                 ok = y > x
                 has[i:j] = ok
                 if ok.any():
-                    run = np.vstack([np.zeros((1, n + 1)), np.cumsum(logs[ids], axis=0, dtype=np.float64)])
-                    mean = (run[y] - run[x]) / np.maximum(y - x, 1)[:, None]
-                    out[i:j] = mean * np.minimum((y - x) * TEMPER, EVIDENCE)[:, None]
+                    # sums between x and y of each text, one language at a time
+                    cuts = np.stack([x[ok], y[ok]], axis=1).reshape(-1)
+                    most = np.minimum((y - x)[ok] * TEMPER, EVIDENCE) / (y - x)[ok]
+                    sums = np.stack([np.add.reduceat(np.append(row[ids], 0).astype(np.float64), cuts)[::2] for row in logs], axis=1)
+                    out[np.arange(i, j)[ok]] = sums * most[:, None]
             flat = pa.array(out.reshape(-1))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * (n + 1)), flat)
             rest = b.select([*keys, "declared", "host", "suffix"])

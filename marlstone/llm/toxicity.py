@@ -1,7 +1,7 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax.
 
 A word's bag holds the hashed byte n-grams of the lower-cased word with its two
-edges and the whole word. Embeddings and softmax are trained jointly, so a
+edges. Embeddings and softmax are trained jointly, so a
 misspelling that no text had shares most of its n-gram vectors with the word.
 A text is read in overlapping windows that cover all of it; each window's bag is
 averaged and goes through the softmax, and the text's probability is that of
