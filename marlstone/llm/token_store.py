@@ -49,19 +49,24 @@ NEAR = 12_000
 
 
 def to_planes(ids: np.ndarray, kind: str = "byte") -> list[bytes]:
-    raw = np.ascontiguousarray(ids, "<u4").view(np.uint8).reshape(-1, 4)
+    ids = np.ascontiguousarray(ids, "<u4")
     if kind == "byte":
-        return [np.ascontiguousarray(raw[:, k]).tobytes() for k in range(4)]
+        return [(ids >> np.uint32(8 * k)).astype(np.uint8).tobytes() for k in range(4)]
+    raw = ids.view(np.uint8).reshape(-1, 4)
     bits = np.unpackbits(raw, axis=1, bitorder="little")
     return [np.packbits(np.ascontiguousarray(bits[:, k]), bitorder="little").tobytes() for k in range(32)]
 
 
 def from_planes(planes: list[bytes], n: int) -> np.ndarray:
     if len(planes) == 4:
-        raw = np.stack([np.frombuffer(p, np.uint8) for p in planes], axis=1)
-    else:
-        bits = np.stack([np.unpackbits(np.frombuffer(p, np.uint8), count=n, bitorder="little") for p in planes], axis=1)
-        raw = np.packbits(bits, axis=1, bitorder="little")
+        out = np.zeros(n, "<u4")
+        for k, p in enumerate(planes):
+            x = np.frombuffer(p, np.uint8)
+            if x.any():
+                out |= x.astype("<u4") << np.uint32(8 * k)
+        return out
+    bits = np.stack([np.unpackbits(np.frombuffer(p, np.uint8), count=n, bitorder="little") for p in planes], axis=1)
+    raw = np.packbits(bits, axis=1, bitorder="little")
     return np.ascontiguousarray(raw).view("<u4").reshape(-1)[:n]
 
 
@@ -164,6 +169,12 @@ class Encoder:
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():  # a character of a byte-level token is a byte
             self.bytes_of[i] = len(token)
+        # marks that end a word after a letter or digit as a token of their own
+        self.marks = {}
+        for m in ",.":
+            a, b = self._ids([" ab", f" ab{m}"])
+            if b[:-1] == a:
+                self.marks[m] = b[-1]
         self._clear()
 
     def _clear(self) -> None:
@@ -182,9 +193,16 @@ class Encoder:
     def _learn(self, keys: list, first: int) -> None:
         """Ids of new pieces; keys[k] has code first + k. A word stands for the
         word after a space, a tuple for its text as it is."""
-        words = [k for k, key in enumerate(keys) if isinstance(key, str)]
-        rest = [k for k, key in enumerate(keys) if not isinstance(key, str)]
-        flat, lens = [], []
+        words, rest, marked = [], [], []
+        for k, key in enumerate(keys):
+            if not isinstance(key, str):
+                rest.append(k)
+            elif key[-1] in self.marks and key[-2:-1].isalnum() and (c := self.code.get(key[:-1], first)) < first:
+                marked.append((k, c, self.marks[key[-1]]))  # a known word and a mark
+            else:
+                words.append(k)
+        flat = [np.append(self.bank[self.off[c] : self.off[c] + self.len[c]], np.uint32(m)) for _, c, m in marked]
+        lens = [np.array([len(x) for x in flat], np.int64)]
         for i in range(0, len(words), 4096):
             part = [keys[k] for k in words[i : i + 4096]]
             joined = " " + " ".join(part)
@@ -199,7 +217,7 @@ class Encoder:
             else:  # a token over a cut: not such a vocabulary
                 rest += words[i : i + 4096]
                 words[i : i + 4096] = [-1] * len(part)
-        order = [k for k in words if k >= 0] + rest
+        order = [k for k, _, _ in marked] + [k for k in words if k >= 0] + rest
         alone = self._ids([k[0] if isinstance(k, tuple) else " " + k for k in map(keys.__getitem__, rest)])
         flat += [np.array(x, np.uint32) for x in alone]
         lens.append(np.array([len(x) for x in alone], np.int64))
