@@ -19,13 +19,9 @@ STEP_BYTES = 1 << 19
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Where the session names none (tests, a laptop) a folder under /tmp is set.
+    Where the session names none (tests, a laptop) it is a folder under /tmp.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file:///tmp/marlstone-shared"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    return (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/marlstone-shared").rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
