@@ -387,7 +387,7 @@ query("universe_groups", "select universe, grp, n from (values " + ", ".join(f"(
 
 _GRID = (experiments.Cell("60d", "momentum", 60), experiments.Cell("managed_60d", "managed", 60, 1.0), experiments.Cell("low_60d", "low_long", 60), experiments.Cell("low_60d_ls", "low_short", 60))
 query("experiment_explore")(lambda s, d: experiments.explore(_rt(s, d), "PN-F", _GRID, "A"))
-query("experiment_holdout")(lambda s, d: experiments.holdout(_rt(s, d), "PN-F", _GRID, experiments.explore(_rt(s, d), "PN-F", _GRID, "A").select("variant"), experiments.HOLDOUT_T["momentum"], "A"))
+query("experiment_holdout")(lambda s, d: experiments.holdout(_rt(s, d), "PN-F", _GRID, s.createDataFrame([(c.name,) for c in _GRID[:2]], "variant string"), experiments.HOLDOUT_T["momentum"], "A"))
 query("figure_heatmap")(lambda s, d: figures.heatmap(_matrix(s, d, "PN-S", "ledoit_wolf")))
 query("figure_spectrum")(lambda s, d: figures.spectrum_series(_matrix(s, d, "PN-S", "rmt_clipped")))
 
