@@ -3,8 +3,9 @@
 The pages of one host are merged: an element is a node of the host's tree,
 named by its path of tags, classes and ids. Two entropies over all pages of
 the host say how much a node matters: that of its presentations (sequences of
-child elements) and, where it holds text, that of its contents. What looks or
-reads the same on every page has entropy near 0, what differs has one near 1.
+child elements), which is near 0 if all pages look the same, and, where it
+holds text, that of its very content, which is large if many pages share it.
+Each counts once a page, so no page decides for the others by repeating a line.
 A branch's importance combines both from the leaves up, and branches of low
 importance are removed from each page. Elements whose tag, role, class or id
 says what they are (menus, notices, adverts, comments ...) have importance 0
@@ -15,7 +16,6 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,13 +23,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BROADCAST_ROWS, arrow_rows, cut
+from ._common import BROADCAST_ROWS, arrow_rows, cut, small
 
 #: Damping of children's importance per presentation, least importance of a
 #: branch, pages from which on a host's entropies count.
 GAMMA, LEAST, PAGES = 0.9, 0.2, 8
-#: Counts that a task holds before it sends them on.
-HELD = 200_000
+#: Stands for any presentation or content of a node; hashes are not negative.
+ANY = -1
 
 # fixed values: element and label names of HTML
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -199,47 +199,53 @@ def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) >> 1
 
 
-def style_counts(pages: DataFrame) -> DataFrame:
-    """(host, path, kind, value, n): presentations (kind 0) and contents (kind
-    1) of the nodes of each host, counted over all its pages. Tasks count before
-    they send."""
+def page_nodes(pages: DataFrame) -> DataFrame:
+    """(host, nodes) of each page: presentations (kind 0) and contents (kind 1)
+    of its nodes, each (path, kind, value) once, and the value ANY once for each
+    path and kind that the page has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-
-        def emit() -> pa.RecordBatch:
-            keys = list(held)
-            cols = [pa.array([k[0] for k in keys], pa.string()), *(pa.array([k[i] for k in keys], kind) for i, kind in ((1, pa.int64()), (2, pa.int32()), (3, pa.int64()))), pa.array([held[k] for k in keys], pa.int64())]
-            held.clear()
-            return pa.RecordBatch.from_arrays(cols, ["host", "path", "kind", "value", "n"])
-
         for b in batches:
-            for host, html in zip(b.column("host").to_pylist(), b.column("html").to_pylist()):
+            at, nodes = [0], []
+            for html in b.column("html").to_pylist():
                 p = Page(html)
-                gone = p.removed()
-                for e in range(1, len(p.tag)):
-                    if not gone[e] and p.children[e]:
-                        held[host, p.path[e], 0, _hash(" ".join(p.tag[c] for c in p.children[e]))] += 1
-                for e, s in p.content(gone).items():
-                    held[host, p.path[e], 1, _hash(s)] += 1
-                if len(held) > HELD:
-                    yield emit()
-        yield emit()
-
-    return pages.select("host", "html").mapInArrow(run, "host string, path long, kind int, value long, n long")
-
-
-def importances(counts: DataFrame) -> DataFrame:
-    """(host, path, kind, importance, values, n): entropy over the largest that
-    n occurrences can have; 1 for a node that occurs once."""
-    each = counts.groupBy("host", "path", "kind", "value").agg(F.sum("n").alias("n"))
-    sums = each.groupBy("host", "path", "kind").agg(F.sum("n").alias("n"), F.count("*").alias("values"), F.sum(F.col("n") * F.log(F.col("n").cast("double"))).alias("s"))
-    n = F.col("n").cast("double")
-    entropy = F.when(F.col("n") > 1, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.log(n) - F.col("s") / n) / F.log(n)))).otherwise(F.lit(1.0))
-    return sums.select("host", "path", "kind", entropy.alias("importance"), "values", "n")
-
-
-def prune(p: Page, gone: list[bool], known: dict[tuple[int, int], tuple[float, int]]) -> list[bool]:
+                nodes.extend(_nodes(p, p.removed()))
+                at.append(len(nodes))
+            parts = [pa.array([x[i] for x in nodes], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.int64()))]
+            lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays(parts, ["path", "kind", "value"]))
+            yield pa.RecordBatch.from_arrays([b.column("host"), lists], ["host", "nodes"])
+
+    return pages.select("host", "html").mapInArrow(run, "host string, nodes array<struct<path: long, kind: int, value: long>>")
+
+
+def _nodes(p: Page, gone: list[bool]) -> set[tuple[int, int, int]]:
+    out = {(p.path[e], 0, _hash(" ".join(p.tag[c] for c in p.children[e]))) for e in range(1, len(p.tag)) if not gone[e] and p.children[e]}
+    out |= {(p.path[e], 1, _hash(s)) for e, s in p.content(gone).items()}
+    return out | {(path, kind, ANY) for path, kind, _ in out}
+
+
+def importances(nodes: DataFrame) -> DataFrame:
+    """(host, path, kind, value, importance, values, n): what is known of the
+    nodes of a host; n is the number of its pages that have the node.
+
+    A content (kind 1) that k of the n pages share has importance 1 - ln k / ln n:
+    its entropy over the pages is ln k. Those that at most half of the pages
+    share are no frame of the host and have no row: importance 1. Presentations
+    (kind 0, value ANY) have one row a node: their entropy over the largest that
+    n pages can have, and how many there are; none if all pages agree."""
+    each = nodes.select("host", F.explode("nodes").alias("x")).select("host", "x.*").groupBy("host", "path", "kind", "value").agg(F.count("*").alias("k"))
+    each = cut(each.where((F.col("k") > 1) | (F.col("kind") == 0) | (F.col("value") == ANY)), "style-counts")
+    pages = small(cut(each.where(F.col("value") == ANY).select("host", "path", "kind", F.col("k").alias("n")), "style-pages"))
+    k, n = F.col("k").cast("double"), F.col("n").cast("double")
+    contents = each.where((F.col("kind") == 1) & (F.col("value") != ANY)).join(pages, ["host", "path", "kind"]).where(2 * F.col("k") > F.col("n"))
+    contents = contents.select("host", "path", "kind", "value", (1 - F.log(k) / F.log(n)).alias("importance"), F.lit(1).cast("long").alias("values"), "n")
+    looks = each.where((F.col("kind") == 0) & (F.col("value") != ANY)).groupBy("host", "path", "kind").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.log(F.col("k").cast("double"))).alias("s"), F.count("*").alias("values"))
+    entropy = F.when(F.col("n") > 1, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.log(k) - F.col("s") / k) / F.log(n)))).otherwise(F.lit(1.0))
+    looks = looks.where(F.col("values") > 1).join(pages, ["host", "path", "kind"]).select("host", "path", "kind", F.lit(ANY).cast("long").alias("value"), entropy.alias("importance"), "values", "n")
+    return contents.unionByName(looks)
+
+
+def prune(p: Page, gone: list[bool], known: dict[tuple[int, int, int], tuple[float, int]]) -> list[bool]:
     """``gone`` and the branches of low importance besides. A branch that holds
     half of the page's text or more stays: the article of a host whose pages
     are copies of one another is no boilerplate."""
@@ -250,10 +256,10 @@ def prune(p: Page, gone: list[bool], known: dict[tuple[int, int], tuple[float, i
         length[e] += len(own.get(e, ""))
         kids = [c for c in p.children[e] if not gone[c]]
         weights = [length[c] for c in kids] + [len(own.get(e, ""))]
-        parts = [share[c] for c in kids] + [known.get((p.path[e], 1), (1.0, 1))[0]]
+        parts = [share[c] for c in kids] + [known.get((p.path[e], 1, _hash(own[e])), (1.0, 1))[0] if e in own else 1.0]
         total = sum(weights)
         below = sum(w * x for w, x in zip(weights, parts)) / total if total else 1.0
-        look, styles = known.get((p.path[e], 0), (1.0, 1))
+        look, styles = known.get((p.path[e], 0, ANY), (1.0, 1))
         g = GAMMA**styles
         # a single presentation says nothing: contents decide then
         share[e] = below if styles <= 1 or not kids else max(below, (1 - g) * look + g * below)
@@ -278,12 +284,12 @@ def extract(pages: DataFrame) -> DataFrame:
     arrow_rows(spark)
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^[A-Za-z][\w+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    table = cut(importances(style_counts(rows)).where((F.col("n") >= PAGES)), "style-tree")
+    table = cut(importances(page_nodes(rows)).where((F.col("n") >= PAGES)), "style-tree")
     if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         t = table.toArrow().to_pydict()
         known: dict[str, dict] = {}
-        for h, path, kind, imp, values in zip(t["host"], t["path"], t["kind"], t["importance"], t["values"]):
-            known.setdefault(h, {})[path, kind] = (imp, values)
+        for h, path, kind, value, imp, values in zip(t["host"], t["path"], t["kind"], t["value"], t["importance"], t["values"]):
+            known.setdefault(h, {})[path, kind, value] = (imp, values)
         shared = spark.sparkContext.broadcast(known)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,15 +317,18 @@ def _by_join(rows: DataFrame, table: DataFrame) -> DataFrame:
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [(r, h, x) for r, h, html in zip(b.column("row").to_pylist(), b.column("host").to_pylist(), b.column("html").to_pylist()) for x in set(Page(html).path)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.int64()))], ["row", "host", "path"])
+            out = []
+            for r, h, html in zip(b.column("row").to_pylist(), b.column("host").to_pylist(), b.column("html").to_pylist()):
+                p = Page(html)
+                out.extend((r, h, *x) for x in _nodes(p, p.removed()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int64()))], ["row", "host", "path", "kind", "value"])
 
     rows = rows.withColumn("row", F.xxhash64("page_id", "url", "html"))
-    met = rows.dropDuplicates(["row"]).select("row", "host", "html").mapInArrow(nodes, "row long, host string, path long").join(table, ["host", "path"])
-    entries = met.groupBy("row").agg(F.collect_list(F.struct("path", "kind", "importance", "values")).alias("entries"))
+    met = rows.dropDuplicates(["row"]).select("row", "host", "html").mapInArrow(nodes, "row long, host string, path long, kind int, value long").join(table, ["host", "path", "kind", "value"])
+    entries = met.groupBy("row").agg(F.collect_list(F.struct("path", "kind", "value", "importance", "values")).alias("entries"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield _texts(b, [{(e["path"], e["kind"]): (e["importance"], e["values"]) for e in es or ()} for es in b.column("entries").to_pylist()])
+            yield _texts(b, [{(e["path"], e["kind"], e["value"]): (e["importance"], e["values"]) for e in es or ()} for es in b.column("entries").to_pylist()])
 
     return rows.join(entries, "row", "left").select("page_id", "url", "html", "entries").mapInArrow(run, "page_id long, url string, text string")

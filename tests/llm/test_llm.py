@@ -408,6 +408,16 @@ def test_style_tree_finds_what_repeats(spark, monkeypatch):
     assert {r["page_id"]: r["text"] for r in site_tree.extract(df).collect()} == out
 
 
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_a_repeated_line_does_not_decide_for_its_host(spark, tag):
+    rng = random.Random(16)
+    pages = [("one.org", [prose(rng, 20) for _ in range(3)] + ["again and again"] * 100)]
+    pages += [("many.org", [prose(rng, 20) for _ in range(4)] + ["the same line"] * (450 if k == 7 else 0)) for k in range(20)]
+    df = spark.createDataFrame([(k, f"http://{h}/{k}", f"<body><{tag}>{''.join(f'<p>{x}</p>' for x in ps)}</{tag}></body>") for k, (h, ps) in enumerate(pages)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in site_tree.extract(df).collect()}
+    assert got == {k: "\n".join(ps) for k, (_, ps) in enumerate(pages)}
+
+
 # -- benchmark ---------------------------------------------------------------
 
 
