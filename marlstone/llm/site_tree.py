@@ -166,11 +166,15 @@ class Page:
         return out
 
     def content(self, gone: list[bool]) -> dict[int, str]:
-        """Own text of the elements that are left, white space as one space."""
+        """Own text of the blocks that are left, white space as one space; that
+        of inline elements belongs to the block around them."""
+        owner = [0]
+        for e in range(1, len(self.tag)):
+            owner.append(e if self.tag[e] in BLOCK else owner[self.parent[e]])
         held: dict[int, list[str]] = {}
         for e, t in self.run:
             if t and not gone[e]:
-                held.setdefault(e, []).append(t)
+                held.setdefault(owner[e], []).append(t)
         return {e: s for e, ts in held.items() if (s := " ".join("".join(ts).split()))}
 
     def text(self, gone: list[bool]) -> str:
@@ -200,22 +204,30 @@ def _hash(text: str) -> int:
 
 
 def page_nodes(pages: DataFrame) -> DataFrame:
-    """(host, nodes) of each page: presentations (kind 0) and contents (kind 1)
+    """(host, look, nodes) of each page. look: a hash of what is left of it
+    without elements whose name says that they are no content, so that copies
+    which differ in a script, a menu or an advert agree. nodes: presentations (kind 0) and contents (kind 1)
     of its nodes, each (path, kind, value) once, and the value ANY once for each
     path and kind that the page has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, nodes = [0], []
+            at, nodes, looks = [0], [], []
             for html in b.column("html").to_pylist():
                 p = Page(html)
-                nodes.extend(_nodes(p, p.removed()))
+                gone = p.removed()
+                looks.append(_look(p, gone))
+                nodes.extend(_nodes(p, gone))
                 at.append(len(nodes))
             parts = [pa.array([x[i] for x in nodes], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.int64()))]
             lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays(parts, ["path", "kind", "value"]))
-            yield pa.RecordBatch.from_arrays([b.column("host"), lists], ["host", "nodes"])
+            yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(looks, pa.int64()), lists], ["host", "look", "nodes"])
+
+    return pages.select("host", "html").mapInArrow(run, "host string, look long, nodes array<struct<path: long, kind: int, value: long>>")
+
 
-    return pages.select("host", "html").mapInArrow(run, "host string, nodes array<struct<path: long, kind: int, value: long>>")
+def _look(p: Page, gone: list[bool]) -> int:
+    return _hash("\n".join([*(str(x) for x, g in zip(p.path, gone) if not g), *(f"{p.path[e]} {s}" for e, s in p.content(gone).items())]))
 
 
 def _nodes(p: Page, gone: list[bool]) -> set[tuple[int, int, int]]:
@@ -226,13 +238,15 @@ def _nodes(p: Page, gone: list[bool]) -> set[tuple[int, int, int]]:
 
 def importances(nodes: DataFrame) -> DataFrame:
     """(host, path, kind, value, importance, values, n): what is known of the
-    nodes of a host; n is the number of its pages that have the node.
+    nodes of a host; n is the number of its pages that have the node. Pages of
+    a host that are copies of one another count as one page.
 
     A content (kind 1) that k of the n pages share has importance 1 - ln k / ln n:
     its entropy over the pages is ln k. Those that at most half of the pages
     share are no frame of the host and have no row: importance 1. Presentations
     (kind 0, value ANY) have one row a node: their entropy over the largest that
     n pages can have, and how many there are; none if all pages agree."""
+    nodes = cut(nodes, "page-nodes").dropDuplicates(["host", "look"])
     each = nodes.select("host", F.explode("nodes").alias("x")).select("host", "x.*").groupBy("host", "path", "kind", "value").agg(F.count("*").alias("k"))
     each = cut(each.where((F.col("k") > 1) | (F.col("kind") == 0) | (F.col("value") == ANY)), "style-counts")
     pages = small(cut(each.where(F.col("value") == ANY).select("host", "path", "kind", F.col("k").alias("n")), "style-pages"))
@@ -245,10 +259,26 @@ def importances(nodes: DataFrame) -> DataFrame:
     return contents.unionByName(looks)
 
 
+def main_branches(p: Page, gone: list[bool], length: list[int]) -> list[int]:
+    """The articles, else the main elements, else the innermost branch of blocks
+    (below the body) with half of the page's text or more."""
+    for tag in ("article", "main"):
+        if named := [e for e in range(1, len(p.tag)) if p.tag[e] == tag and not gone[e]]:
+            return named
+    found, at = 0, 0
+    while at is not None:
+        if p.tag[at] in BLOCK and any(p.tag[c] in BLOCK and not gone[c] for c in p.children[at]):
+            found = at
+        at = next((c for c in p.children[at] if not gone[c] and 0 < length[0] <= 2 * length[c]), None)
+    return [found] if p.tag[found] not in ("#", "html", "body") else []
+
+
 def prune(p: Page, gone: list[bool], known: dict[tuple[int, int, int], tuple[float, int]]) -> list[bool]:
-    """``gone`` and the branches of low importance besides. A branch that holds
-    half of the page's text or more stays: the article of a host whose pages
-    are copies of one another is no boilerplate."""
+    """``gone`` and the blocks of low importance besides. Nothing inside a main
+    branch goes, nor what holds one, nor a block with half of the page's text or
+    more: the article of a host whose pages are nearly copies of one another is
+    no boilerplate. Inline elements go and stay with the block around them, so
+    no words are cut out of a sentence."""
     n = len(p.tag)
     own = p.content(gone)
     length, share = [0] * n, [1.0] * n
@@ -265,9 +295,16 @@ def prune(p: Page, gone: list[bool], known: dict[tuple[int, int, int], tuple[flo
         share[e] = below if styles <= 1 or not kids else max(below, (1 - g) * look + g * below)
         if e:
             length[p.parent[e]] += length[e] if not gone[e] else 0
+    inside, above = set(main_branches(p, gone, length)), set()
+    for e in inside:
+        while (e := p.parent[e]) > 0 and e not in above:
+            above.add(e)
     out = list(gone)
     for e in range(1, n):
-        out[e] = out[e] or out[p.parent[e]] or (0 < length[e] < 0.5 * length[0] and share[e] < LEAST)
+        if p.parent[e] in inside:
+            inside.add(e)
+        low = p.tag[e] in BLOCK and 0 < length[e] < 0.5 * length[0] and share[e] < LEAST
+        out[e] = out[e] or out[p.parent[e]] or (low and e not in inside and e not in above)
     return out
 
 
@@ -276,7 +313,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     A null html is an empty page with an empty text; a null url, or one without
     a host, makes the page a host of its own kind ("") whose pages are merged.
-    Rows that repeat a page count once each. Malformed html is read to its end:
+    Each row of pages that are copies gets its text. Malformed html is read to its end:
     what has no end tag ends with what holds it. Other columns are not read; an
     empty table gives an empty one.
     """

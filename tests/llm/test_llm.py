@@ -418,6 +418,28 @@ def test_a_repeated_line_does_not_decide_for_its_host(spark, tag):
     assert got == {k: "\n".join(ps) for k, (_, ps) in enumerate(pages)}
 
 
+@pytest.mark.parametrize("copies", [20, 1000])
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_hosts_of_copies_keep_their_text(spark, copies, tag):
+    """Exact copies, copies that differ in a script and a menu, and near copies."""
+    rng = random.Random(17)
+    title, ps = prose(rng, 3), [prose(rng, 20), prose(rng, 20), prose(rng, 20)]
+    body = f"<{tag}><h1>{title}</h1>{''.join(f'<p>{x}</p>' for x in ps)}%s</{tag}>"
+    html = {"same": lambda k: body % "", "track": lambda k: f"<script>track({k})</script><nav>{k}</nav>" + body % "", "near": lambda k: "<div class='top'>Our frame</div>" + body % f"<p>Visit {k}</p>"}
+    rows = [(k * 3 + j, f"http://{h}.org/{k}", f"<body>{f(k)}</body>") for j, (h, f) in enumerate(html.items()) for k in range(copies)]
+    got = {r["page_id"]: r["text"] for r in site_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k * 3 + j: "\n".join([title, *ps] + ([f"Visit {k}"] if j == 2 else [])) for j in range(3) for k in range(copies)}
+
+
+def test_no_words_are_cut_out_of_sentences(spark):
+    """Inline elements and headings from a small fixed set of texts."""
+    rng = random.Random(18)
+    want = {k: [f"Part {k % 3}", f"{prose(rng, 6)} {('very', 'much')[k % 2]} {prose(rng, 6)}", prose(rng, 5)] for k in range(400)}
+    rows = [(k, "http://hot.org/", f"<body><h2>{h}</h2><p>{a.replace('very', '<b>very</b>').replace('much', '<em>much</em>')}</p><p>{b}</p></body>") for k, (h, a, b) in want.items()]
+    got = {r["page_id"]: r["text"] for r in site_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: "\n".join(v) for k, v in want.items()}
+
+
 # -- benchmark ---------------------------------------------------------------
 
 
