@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from ._common import BROADCAST_ROWS, arrow_rows, cut, small
 
 #: Damping of children's importance per presentation, least importance of a
-#: branch, pages from which on a host's entropies count.
-GAMMA, LEAST, PAGES = 0.9, 0.2, 8
+#: branch.
+GAMMA, LEAST = 0.9, 0.2
 #: Stands for any presentation or content of a node; hashes are not negative.
 ANY = -1
 
@@ -237,25 +237,26 @@ def _nodes(p: Page, gone: list[bool]) -> set[tuple[int, int, int]]:
 
 
 def importances(nodes: DataFrame) -> DataFrame:
-    """(host, path, kind, value, importance, values, n): what is known of the
-    nodes of a host; n is the number of its pages that have the node. Pages of
-    a host that are copies of one another count as one page.
+    """(host, path, kind, value, importance, values): what is known of the nodes
+    of a host. n is the number of its pages that have the node; pages of a host
+    that are copies of one another count as one page.
 
     A content (kind 1) that k of the n pages share has importance 1 - ln k / ln n:
     its entropy over the pages is ln k. Those that at most half of the pages
-    share are no frame of the host and have no row: importance 1. Presentations
-    (kind 0, value ANY) have one row a node: their entropy over the largest that
-    n pages can have, and how many there are; none if all pages agree."""
+    share are no frame of the host and have no row: importance 1; values is n.
+    Presentations (kind 0, value ANY) have one row a node: their entropy over the
+    largest that n pages can have, and in values how many there are; none if all
+    pages agree."""
     nodes = cut(nodes, "page-nodes").dropDuplicates(["host", "look"])
     each = nodes.select("host", F.explode("nodes").alias("x")).select("host", "x.*").groupBy("host", "path", "kind", "value").agg(F.count("*").alias("k"))
     each = cut(each.where((F.col("k") > 1) | (F.col("kind") == 0) | (F.col("value") == ANY)), "style-counts")
     pages = small(cut(each.where(F.col("value") == ANY).select("host", "path", "kind", F.col("k").alias("n")), "style-pages"))
     k, n = F.col("k").cast("double"), F.col("n").cast("double")
     contents = each.where((F.col("kind") == 1) & (F.col("value") != ANY)).join(pages, ["host", "path", "kind"]).where(2 * F.col("k") > F.col("n"))
-    contents = contents.select("host", "path", "kind", "value", (1 - F.log(k) / F.log(n)).alias("importance"), F.lit(1).cast("long").alias("values"), "n")
+    contents = contents.select("host", "path", "kind", "value", (1 - F.log(k) / F.log(n)).alias("importance"), F.col("n").alias("values"))
     looks = each.where((F.col("kind") == 0) & (F.col("value") != ANY)).groupBy("host", "path", "kind").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.log(F.col("k").cast("double"))).alias("s"), F.count("*").alias("values"))
     entropy = F.when(F.col("n") > 1, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.log(k) - F.col("s") / k) / F.log(n)))).otherwise(F.lit(1.0))
-    looks = looks.where(F.col("values") > 1).join(pages, ["host", "path", "kind"]).select("host", "path", "kind", F.lit(ANY).cast("long").alias("value"), entropy.alias("importance"), "values", "n")
+    looks = looks.where(F.col("values") > 1).join(pages, ["host", "path", "kind"]).select("host", "path", "kind", F.lit(ANY).cast("long").alias("value"), entropy.alias("importance"), "values")
     return contents.unionByName(looks)
 
 
@@ -278,15 +279,21 @@ def prune(p: Page, gone: list[bool], known: dict[tuple[int, int, int], tuple[flo
     branch goes, nor what holds one, nor a block with half of the page's text or
     more: the article of a host whose pages are nearly copies of one another is
     no boilerplate. Inline elements go and stay with the block around them, so
-    no words are cut out of a sentence."""
+    no words are cut out of a sentence.
+
+    Entropies count from two pages on, but the fewer pages say it the less they
+    may take: at most 1 - 1/n of a page's text, where n pages have the same
+    nodes. What would take more is a copy of the page, and the page stays whole.
+    """
     n = len(p.tag)
     own = p.content(gone)
-    length, share = [0] * n, [1.0] * n
+    length, share, pages = [0] * n, [1.0] * n, 1
     for e in range(n - 1, -1, -1):
         length[e] += len(own.get(e, ""))
         kids = [c for c in p.children[e] if not gone[c]]
         weights = [length[c] for c in kids] + [len(own.get(e, ""))]
-        parts = [share[c] for c in kids] + [known.get((p.path[e], 1, _hash(own[e])), (1.0, 1))[0] if e in own else 1.0]
+        mine, met = known.get((p.path[e], 1, _hash(own[e])), (1.0, 1)) if e in own else (1.0, 1)
+        parts, pages = [share[c] for c in kids] + [mine], max(pages, met)
         total = sum(weights)
         below = sum(w * x for w, x in zip(weights, parts)) / total if total else 1.0
         look, styles = known.get((p.path[e], 0, ANY), (1.0, 1))
@@ -305,7 +312,8 @@ def prune(p: Page, gone: list[bool], known: dict[tuple[int, int, int], tuple[flo
             inside.add(e)
         low = p.tag[e] in BLOCK and 0 < length[e] < 0.5 * length[0] and share[e] < LEAST
         out[e] = out[e] or out[p.parent[e]] or (low and e not in inside and e not in above)
-    return out
+    taken = sum(len(s) for e, s in own.items() if out[e])
+    return out if taken <= (1 - 1 / pages) * length[0] else list(gone)
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -321,7 +329,7 @@ def extract(pages: DataFrame) -> DataFrame:
     arrow_rows(spark)
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^[A-Za-z][\w+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    table = cut(importances(page_nodes(rows)).where((F.col("n") >= PAGES)), "style-tree")
+    table = cut(importances(page_nodes(rows)), "style-tree")
     if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         t = table.toArrow().to_pydict()
         known: dict[str, dict] = {}

@@ -431,6 +431,20 @@ def test_hosts_of_copies_keep_their_text(spark, copies, tag):
     assert got == {k * 3 + j: "\n".join([title, *ps] + ([f"Visit {k}"] if j == 2 else [])) for j in range(3) for k in range(copies)}
 
 
+@pytest.mark.parametrize("n", [2, 3, 5, 7])
+def test_small_hosts_are_cleaned(spark, n):
+    """Unnamed blocks that all pages of a host share go from two pages on, but a
+    page and its print version keep what they share."""
+    rng = random.Random(19)
+    want = {k: [prose(rng, 20), prose(rng, 12)] for k in range(n)}
+    rows = [(k, "http://small.org/", f"<body><div class='x{k}'>Call us now</div><p>{a}</p><p>{b}</p><div class='y'><p>All of it ours</p></div></body>") for k, (a, b) in want.items()]
+    shared = [prose(rng, 20) for _ in range(4)]
+    want |= {100 + k: [*shared, f"Version {k}"] for k in range(2)}
+    rows += [(k, "http://print.org/", f"<body>{''.join(f'<p>{x}</p>' for x in want[k])}</body>") for k in (100, 101)]
+    got = {r["page_id"]: r["text"] for r in site_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: "\n".join(v) for k, v in want.items()}
+
+
 def test_no_words_are_cut_out_of_sentences(spark):
     """Inline elements and headings from a small fixed set of texts."""
     rng = random.Random(18)
