@@ -309,6 +309,19 @@ def test_page_evidence(spark):
     assert (b["host"], b["suffix"], b["declared"]) == (None, None, "")
 
 
+def test_an_op2_query_fuses_the_address(spark, tmp_path):
+    """Pages whose text says little take the language of suffix, host or site."""
+    from marlstone.llm import queries
+
+    page = lambda k, url, text: (k, url, f"<html><p>{text}</p></html>")
+    rows = [(k, f"http://h{k % 7}.a{k % 5}.{x}/", f'<html lang="{x}"><p>{" ".join(TONGUES[x])}</p></html>') for k in range(120) for x in (("de", "fr")[k % 2],)]
+    rows += [page(900, "http://new.z.de/", "en"), page(901, "http://new.z.fr/", "en")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert [n for n in queries.QUERIES if n.startswith("op2_")] == ["op2_language_evidence", "op2_page_evidence"]
+    got = {r["page_id"]: r["lang_id"] for r in queries.QUERIES["op2_page_evidence"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows) and got[900] == "de" and got[901] == "fr"
+
+
 # -- classifiers -------------------------------------------------------------
 
 
