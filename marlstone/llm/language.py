@@ -27,8 +27,13 @@ from pyspark.sql import functions as F
 
 from ._common import LOWER, SEPARATOR, arrow_rows, cut, small, steps, utf8_buffers
 
+#: Languages that need no support; others are read from the declared values.
 LANGUAGES = ("de", "en", "es", "fr")
 UNKNOWN = "und"
+#: Codes that name no language: undetermined, several, none, not coded.
+NO_LANGUAGE = (UNKNOWN, "mul", "zxx", "mis")
+#: Records, and share of those that declare one, that a further language needs.
+SUPPORT, SHARE = 20, 0.001
 BUCKETS = 1 << 16
 SMOOTH = 0.5
 #: Independent trigrams that a text counts as at most, and per trigram it has.
@@ -104,10 +109,21 @@ def trigram_counts(rows: DataFrame, languages: tuple[str, ...], buckets: int = B
     return out
 
 
-def identify(rows: DataFrame, languages: tuple[str, ...] = LANGUAGES, least: float = LEAST) -> DataFrame:
+def declared_languages(rows: DataFrame) -> tuple[str, ...]:
+    """LANGUAGES and all others that enough rows declare, in alphabetic order;
+    rows (declared: a language or the empty string). At most 1 / SHARE others."""
+    each = cut(rows.where(~F.col("declared").isin("", *NO_LANGUAGE)).groupBy("declared").agg(F.count("*").alias("n")), "declared")
+    total = each.agg(F.sum("n")).first()[0] or 0
+    found = each.where(F.col("n") >= max(SUPPORT, SHARE * total)).collect()
+    return tuple(sorted({*LANGUAGES, *(r["declared"] for r in found)}))
+
+
+def identify(rows: DataFrame, languages: tuple[str, ...] | None = None, least: float = LEAST) -> DataFrame:
     """rows (text, declared, host, suffix, and any key columns) to key columns
     with lang_id, posterior, text_lang, accepted.
 
+    languages: those of the declared values with enough support and LANGUAGES;
+    given ones restrict the answer to them.
     declared, host and suffix may be null: then they say nothing, and the prior
     is that of the whole corpus. A null text, or one without a letter, has the
     language "und" and is not accepted; so has a text that suits no language
@@ -118,8 +134,10 @@ def identify(rows: DataFrame, languages: tuple[str, ...] = LANGUAGES, least: flo
     """
     spark = rows.sparkSession
     arrow_rows(spark)
-    n, keys = len(languages), [c for c in rows.columns if c not in ("text", "declared", "host", "suffix")]
+    keys = [c for c in rows.columns if c not in ("text", "declared", "host", "suffix")]
     rows = rows.withColumns({"declared": language_of(F.col("declared")), "text": F.coalesce(F.col("text").cast("string"), F.lit("")), "host": F.lower("host"), "suffix": F.lower("suffix")})
+    languages = languages or declared_languages(rows)
+    n = len(languages)
     counts = trigram_counts(rows, languages)
     p = (counts + SMOOTH) / (counts.sum(axis=1, keepdims=True) + SMOOTH * counts.shape[1])
     table = np.vstack([np.log(p), np.full((1, counts.shape[1]), -np.log(counts.shape[1]))]).astype(np.float32)

@@ -309,6 +309,21 @@ def test_page_evidence(spark):
     assert (b["host"], b["suffix"], b["declared"]) == (None, None, "")
 
 
+def test_languages_are_those_declared(spark):
+    """A fifth language counts if enough records declare it, unless the caller
+    restricts the languages; rare values and codes of no language do not."""
+    tongues = TONGUES | {"it": "il che non sono della perché questo gli anche più".split()}
+    rng = random.Random(20)
+    truth = {k: ("de", "en", "es", "fr", "it")[k % 5] for k in range(400)}
+    rows = [(k, " ".join(rng.choice(tongues[x]) for _ in range(30)), "qq" if k % 50 == 7 else "und" if k % 10 == 9 else x + "-XX", "src", None) for k, x in truth.items()]
+    df = spark.createDataFrame(rows, "doc_id long, text string, declared string, host string, suffix string")
+    got = {r["doc_id"]: r for r in language.identify(df).collect()}
+    assert {k: r["lang_id"] for k, r in got.items()} == truth and all(r["accepted"] for r in got.values())
+    assert {r["lang_id"] for r in language.identify(df, ("de", "en")).collect()} <= {"de", "en", "und"}
+    docs = df.selectExpr("doc_id", "text", "declared as lang", "host as source", "length(text) as n_chars")
+    assert language.language_pipeline(docs).count() == 400
+
+
 def test_an_op2_query_fuses_the_address(spark, tmp_path):
     """Pages whose text says little take the language of suffix, host or site."""
     from marlstone.llm import queries
