@@ -12,10 +12,11 @@ import heapq
 from dataclasses import dataclass, field
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import cut, small
+from ._common import cut, new_path
 
 SLOTS = 4096
 
@@ -87,13 +88,37 @@ class SlotMap:
         return cls(max(s for _, s in rows) + 1, [s for _, s in rows], at)
 
 
+def stored_map(spark: SparkSession, sizes: list[int], shards: int, path: str | None = None) -> SlotMap:
+    """The map for these sizes, as read back from ``path`` (none: a new path in
+    the shared folder). Version 1 is balanced and saved; where versions are
+    stored, the latest is rebalanced, and saved as the next one if it moves
+    slots or gets more shards."""
+    path = path or new_path(spark, "slot-map")
+    try:
+        last = SlotMap.load(spark, path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        now = SlotMap.balanced(sizes, shards)
+        now.save(spark, path)
+    else:
+        if len(last.shard) != len(sizes):
+            raise ValueError(f"the stored map has {len(last.shard)} slots, not {len(sizes)}")
+        now = last.rebalanced(sizes, shards)
+        if now.shard == last.shard:
+            now = last
+        else:
+            now.save(spark, path)
+    return SlotMap.load(spark, path, now.version)
+
+
 def slot_of(key: Column, slots: int = SLOTS) -> Column:
     """The virtual slot of a key: 31 bits of its MD5 modulo ``slots``. A null
     key hashes as the empty string."""
     return (F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long") % slots).cast("int")
 
 
-def shard_documents(docs: DataFrame, shards: int = 16, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text", slot_map: SlotMap | None = None) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 16, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text", slot_map: SlotMap | None = None, map_path: str | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot.
 
     size: UTF-8 bytes of the text plus 1 (a null text: 1). Law ``bytes``: the
@@ -102,7 +127,8 @@ def shard_documents(docs: DataFrame, shards: int = 16, slots: int = SLOTS, id_co
     identifier and checksum; rows that agree in all of these take places in any
     order. Places come from counts per virtual slot, so no task sorts more than
     one slot's rows. A row without identifier hashes by its text's checksum.
-    A given ``slot_map`` is used as it is. An empty table gives an empty one.
+    The map is stored at ``map_path`` and read back, see stored_map; a given
+    ``slot_map`` is used as it is and not stored. An empty table gives an empty one.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -110,7 +136,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, slots: int = SLOTS, id_co
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.col("text_crc32").cast("string")))
     rows = cut(rows.withColumn("virtual_slot", slot_of(key, slots)), "slots")
     held = {r["virtual_slot"]: (r["bytes"], r["n"]) for r in rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()}  # at most ``slots`` rows
-    map_ = slot_map or SlotMap.balanced([held.get(k, (0, 0))[0] for k in range(slots)], shards)
+    map_ = slot_map or stored_map(spark, [held.get(k, (0, 0))[0] for k in range(slots)], shards, map_path)
     base, out = [0] * map_.shards, []
     for k, s in enumerate(map_.shard):
         out.append((k, s, base[s]))
@@ -123,16 +149,17 @@ def shard_documents(docs: DataFrame, shards: int = 16, slots: int = SLOTS, id_co
     )
 
 
-def shard_pipeline(docs: DataFrame, shards: int = 16, slots: int = SLOTS) -> DataFrame:
+def shard_pipeline(docs: DataFrame, shards: int = 16, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
     """docs with shard and virtual_slot of every row added (columns of these
-    names that docs already has are replaced). Sizes from the text itself."""
+    names that docs already has are replaced). Sizes from the text itself; the
+    map is stored as in shard_documents."""
     spark = docs.sparkSession
     docs = docs.drop("shard", "virtual_slot")
     text = F.coalesce(F.col("text"), F.lit(""))
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.crc32(text.cast("binary")).cast("string")))
     keyed = docs.withColumn("virtual_slot", slot_of(key, slots))
     held = {r["virtual_slot"]: r["bytes"] for r in keyed.groupBy("virtual_slot").agg(F.sum(F.octet_length(text).cast("long") + 1).alias("bytes")).collect()}  # at most ``slots`` rows
-    map_ = SlotMap.balanced([held.get(k, 0) for k in range(slots)], shards)
+    map_ = stored_map(spark, [held.get(k, 0) for k in range(slots)], shards, map_path)
     return keyed.join(F.broadcast(map_.table(spark).select("virtual_slot", "shard")), "virtual_slot").select(*docs.columns, "shard", "virtual_slot")
 
 

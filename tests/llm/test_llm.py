@@ -203,6 +203,34 @@ def test_slot_map_versions(spark, tmp_path):
         b.rebalanced(sizes, 3)
 
 
+@pytest.mark.parametrize("operator", [sharding.shard_documents, sharding.shard_pipeline])
+def test_shards_come_from_the_stored_map(spark, tmp_path, operator):
+    docs = spark.range(400).selectExpr("id as doc_id", "repeat('x', int(id % 50)) as text")
+
+    def at(df):
+        return {r["virtual_slot"]: r["shard"] for r in df.select("virtual_slot", "shard").collect()}
+
+    import pathlib
+
+    from marlstone.llm._common import shared_dir
+
+    folder = pathlib.Path(shared_dir(spark).removeprefix("file://"), "marlstone")
+    had = set(folder.glob("slot-map-*"))
+    now = at(operator(docs, shards=4, slots=64))
+    (new,) = set(folder.glob("slot-map-*")) - had
+    a = sharding.SlotMap.load(spark, f"file://{new}")
+    assert a.version == 1 and len(a.shard) == 64 and now.items() <= dict(enumerate(a.shard)).items()
+
+    path = f"file://{tmp_path}/map"
+    assert at(operator(docs, shards=4, slots=64, map_path=path)) == at(operator(docs, shards=4, slots=64, map_path=path)) == now
+    assert sharding.SlotMap.load(spark, path).version == 1
+    grown = at(operator(docs, shards=5, slots=64, map_path=path))
+    b = sharding.SlotMap.load(spark, path)
+    assert b.version == 2 and grown.items() <= dict(enumerate(b.shard)).items()
+    assert 4 in b.shard and 2 * sum(x != y for x, y in zip(a.shard, b.shard)) < len(a.shard)
+    assert sharding.SlotMap.load(spark, path, 1).shard == a.shard
+
+
 def test_mixing(docs, rows):
     out = mixing.mix(docs).collect()
     size = {}
