@@ -4,6 +4,7 @@ vectorised views of UTF-8 text held in Arrow buffers."""
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,25 +13,40 @@ from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch; documents are a few KB, so a batch stays in tens of MB.
 ARROW_ROWS = 1000
-#: Bytes of text that one numpy step handles; temporaries are about 60 times as large.
+#: Bytes of text that one numpy step handles; temporaries are about 60 times as
+#: large. A longer text is read in pieces of this size.
 STEP_BYTES = 1 << 19
 
 
+#: Folders made by this process, for ``clean``.
+_made: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Where the session names none (tests, a laptop) it is a folder under /tmp.
+    Where a local session names none (tests, a laptop) it is a folder under
+    /tmp; on a cluster that folder would be another one on each machine, so
+    there the setting must be made.
     """
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/marlstone-shared").rstrip("/")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that driver and executors share (master {master})")
+        named = "file:///tmp/marlstone-shared"
+    return named.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/marlstone/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/marlstone/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read again: lost executors cost nothing
-    that came before, and a table used twice is computed once."""
+    that came before, and a table used twice is computed once. The folder stays
+    until ``clean``, as results are read from it later."""
     spark = df.sparkSession
     path = new_path(spark, name)
     schema = df.schema
@@ -38,6 +54,16 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> int:
+    """Deletes the folders that this process made in the shared folder; call it
+    when the results of its operators have been read. Returns how many."""
+    gone = 0
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        gone += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return gone
+
+
 def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Bound the rows of an Arrow batch, unless the session has its own bound."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
@@ -78,10 +104,10 @@ def utf8_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def steps(at: np.ndarray, most: int = STEP_BYTES) -> list[tuple[int, int]]:
-    """Split rows into runs of whole texts with about ``most`` bytes; a longer
-    text is a run of its own."""
-    n = len(at) - 1
+def steps(at: np.ndarray, most: int = 0) -> list[tuple[int, int]]:
+    """Split rows into runs of whole texts with at most ``most`` bytes (0:
+    STEP_BYTES); a longer text is a run of its own."""
+    n, most = len(at) - 1, most or STEP_BYTES
     out, i = [], 0
     while i < n:
         j = int(np.searchsorted(at, at[i] + most, "right")) - 1
@@ -91,6 +117,13 @@ def steps(at: np.ndarray, most: int = STEP_BYTES) -> list[tuple[int, int]]:
     return out
 
 
+def pieces(n: int, most: int = 0) -> list[tuple[int, int]]:
+    """Split a text of n bytes into spans of ``most`` bytes (0: STEP_BYTES); an
+    empty text is one span."""
+    most = most or STEP_BYTES
+    return [(k, min(k + most, n)) for k in range(0, max(n, 1), most)]
+
+
 #: Word separators: space and the controls TAB to CR.
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
@@ -99,13 +132,13 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def word_bounds(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_bounds(data: np.ndarray, at: np.ndarray, separator: np.ndarray = SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, first) of the words of concatenated texts; words of text i
     are first[i]:first[i+1]. A word never spans two texts."""
     if not len(data):
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(at), np.int64)
-    inside = ~SEPARATOR[data]
+    inside = ~separator[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[at] = True
     before = np.empty_like(inside)
@@ -147,16 +180,58 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray = LOWER) -> np.ndarray:
-    """64-bit hashes of the words, bytes folded by ``fold`` first."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
+def _word_sums(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray) -> np.ndarray:
+    """Of each word the sum of its bytes' numbers times powers of the base."""
     up, down = _powers(len(data) + 1)
     sums = np.empty(len(data) + 1, np.uint64)
     sums[0] = 0
     with np.errstate(over="ignore"):
         np.cumsum(_BYTE[fold][data] * up[: len(data)], out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+        return (sums[ends] - sums[starts]) * down[starts]
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray = LOWER) -> np.ndarray:
+    """64-bit hashes of the words, bytes folded by ``fold`` first."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    with np.errstate(over="ignore"):
+        return mix(_word_sums(data, starts, ends, fold) + (ends - starts).astype(np.uint64))
+
+
+def text_words(data: np.ndarray, fold: np.ndarray = LOWER, separator: np.ndarray = SEPARATOR) -> Iterator[np.ndarray]:
+    """Hashes of the words of one text of any length, as ``word_hashes`` gives
+    them, a piece at a time: memory is that of a piece. A word that spans
+    pieces is summed up over them."""
+    held, size = 0, 0  # sum and length of the word that the last piece left open
+    mask = (1 << 64) - 1
+    base = int(_BASE)
+    for lo, hi in pieces(len(data)):
+        part = data[lo:hi]
+        starts, ends, _ = word_bounds(part, np.array([0, len(part)]), separator)
+        begun = size and len(part) and not separator[part[0]]
+        out = []
+        if size and not begun:
+            out.append((held, size))
+            held = size = 0
+        if len(starts):
+            sums, lens = _word_sums(part, starts, ends, fold), ends - starts
+            if begun:
+                held = (held + int(sums[0]) * pow(base, size, 1 << 64)) & mask
+                size += int(lens[0])
+                starts, ends, sums, lens = starts[1:], ends[1:], sums[1:], lens[1:]
+                if len(starts) or separator[part[-1]]:
+                    out.append((held, size))
+                    held = size = 0
+            if len(starts) and not separator[part[-1]]:
+                held, size = int(sums[-1]), int(lens[-1])
+                sums, lens = sums[:-1], lens[:-1]
+            first = np.array([h for h, _ in out], np.uint64), np.array([n for _, n in out], np.uint64)
+            with np.errstate(over="ignore"):
+                yield mix(np.concatenate([first[0], sums]) + np.concatenate([first[1], lens.astype(np.uint64)]))
+        elif out:
+            yield mix(np.array([(h + n) & mask for h, n in out], np.uint64))
+    if size:
+        yield mix(np.array([(held + size) & mask], np.uint64))
 
 
 def shingles(words: np.ndarray, first: np.ndarray, width: int = 5) -> list[np.ndarray]:

@@ -5,6 +5,10 @@ chunk begins every 8), and each filter's largest response over the whole
 document goes through a hidden layer into one probability. Besides the bytes a
 filter sees one more channel per half chunk: whether its 8 bytes occurred a
 short lag before, which a linear filter over bytes can't tell.
+
+Every text lies apart from its neighbours by more bytes than a filter or a lag
+reaches, and a response is a sum of table entries in one fixed order, so a score
+is a function of the text alone: the same in any batch, order and partition.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_rows, steps, utf8_buffers
+from ._common import arrow_rows, pieces, steps, utf8_buffers
 from ._labels import in_fold, training_rows
 
 STEP = 8
@@ -26,9 +30,9 @@ FILTERS = 32
 HIDDEN = 16
 #: Lags, in bytes, at which a half chunk is looked for before itself.
 LAGS = range(2, 33)
-#: Zero bytes before each text; as long as the largest lag.
-PAD = 40
-_REACH = 2 * STEP
+#: Half chunks before each text: zeros, or what comes before a piece of it. They
+#: are as long as the largest lag.
+GAP = 4
 
 
 @dataclass
@@ -41,14 +45,24 @@ class Net:
 
     def score(self, column: pa.Array) -> np.ndarray:
         """Probability of each text; an empty one is scored as all padding."""
+        tables = self.tables()
         data, at = utf8_buffers(column)
-        out = np.zeros(len(column))
-        for i, j in steps(at, 1 << 19):
-            blocks, rep, first = layout(data[at[i] : at[j]], at[i : j + 1] - at[i])
-            out[i:j] = self.head(self.pool(blocks, rep, first)[0])[0]
-        return out
+        best = np.empty((len(column), FILTERS), np.float32)
+        for i, j in steps(at):
+            text = data[at[i] : at[j]]
+            if j == i + 1:
+                best[i] = np.max([tables.pool(*layout(text, np.array([lo, hi]), True)[:4]) for lo, hi in pieces(len(text))], axis=0)
+            else:
+                best[i:j] = tables.pool(*layout(text, at[i : j + 1] - at[i])[:4])
+        return self.head(best.astype(np.float64), exact=True)[0]
+
+    def tables(self) -> Tables:
+        """What each byte at each of the 16 places of a chunk adds to a filter."""
+        p = self.p
+        fil = p["fil"].reshape(2 * STEP, DIM, FILTERS).astype(np.float64)
+        return Tables(np.einsum("bd,sdf->sbf", p["emb"].astype(np.float64), fil).astype(np.float32), p["rep"], p["off"])
 
-    def pool(self, blocks: np.ndarray, rep: np.ndarray, first: np.ndarray, argmax: bool = False):
+    def pool(self, blocks: np.ndarray, rep: np.ndarray, first: np.ndarray, last: np.ndarray, argmax: bool = False):
         """Largest response of each filter in each text, and where it is."""
         p = self.p
         x = p["emb"][blocks].reshape(len(blocks), -1)
@@ -56,37 +70,79 @@ class Net:
         a += rep[:, None] * p["rep"][0]
         a[:-1] += b[1:]
         a[:-1] += rep[1:, None] * p["rep"][1]
-        best = np.maximum.reduceat(a, first[:-1], axis=0)
         where = None
         if argmax:
-            where = np.stack([first[k] + a[first[k] : first[k + 1]].argmax(axis=0) for k in range(len(first) - 1)])
-        return best + p["off"], where
+            where = np.stack([i + a[i:j].argmax(axis=0) for i, j in zip(first, last)])
+        return _most(a, first, last) + p["off"], where
 
-    def head(self, best: np.ndarray):
+    def head(self, best: np.ndarray, exact: bool = False):
+        """Probability, rectified responses, hidden layer. exact: sums in an
+        order that does not depend on the number of texts."""
         p = self.p
         r = np.maximum(best, 0)
-        h = np.tanh(r @ p["w1"] + p["b1"])
-        z = h @ p["w2"] + p["b2"]
+        if exact:
+            h = np.tanh(sum(r[:, k, None] * p["w1"][k] for k in range(r.shape[1])) + p["b1"])
+            z = sum(h[:, k] * p["w2"][k] for k in range(h.shape[1])) + p["b2"]
+        else:
+            h = np.tanh(r @ p["w1"] + p["b1"])
+            z = h @ p["w2"] + p["b2"]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30))), r, h
 
 
-def layout(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(half chunks [n, STEP] of bytes, repeat channel, first half chunk of each
-    text). Every text has its own half chunks and at least two of them: zeros
-    follow its end, so a chunk never spans two texts."""
+@dataclass
+class Tables:
+    """Folded filters: table [2 * STEP, 256, FILTERS], rep [2, FILTERS], off."""
+
+    table: np.ndarray
+    rep: np.ndarray
+    off: np.ndarray
+
+    def pool(self, blocks: np.ndarray, rep: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Largest response of each filter in each text."""
+        a, b = self.table[0][blocks[:, 0]], self.table[STEP][blocks[:, 0]]
+        for k in range(1, STEP):
+            a += self.table[k][blocks[:, k]]
+            b += self.table[STEP + k][blocks[:, k]]
+        on = np.flatnonzero(rep)
+        a[on] += self.rep[0]
+        b[on] += self.rep[1]
+        a[:-1] += b[1:]
+        return _most(a, first, last) + self.off
+
+
+def _most(a: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Largest of the rows first[k] to last[k] - 1; spans don't touch."""
+    return np.maximum.reduceat(a, np.stack([first, last], axis=1).reshape(-1), axis=0)[::2]
+
+
+def layout(data: np.ndarray, at: np.ndarray, piece: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(half chunks [n, STEP] of bytes, repeat channel, first and last + 1 own
+    half chunk of each text).
+
+    Text k is data[at[k]:at[k + 1]]. Each has GAP half chunks of zeros before it
+    and at least one after its last byte, so neither a chunk nor a lag reaches
+    another text. With ``piece`` at names one span of the one text in data; what
+    lies before and behind it in the text fills the padding.
+    """
     lens = np.diff(at)
-    n = -(-lens // STEP) + 1
-    first = np.concatenate(([0], np.cumsum(n)))
-    flat = np.zeros(PAD + int(first[-1]) * STEP, np.uint8)
-    shift = PAD + first[:-1] * STEP - at[:-1]
-    flat[np.arange(len(data)) + np.repeat(shift, lens)] = data
-    total = int(first[-1])
-    own = np.frombuffer(flat.data, "<u8", total, PAD)
+    own = -(-lens // STEP) + 1
+    first = np.cumsum(own + GAP + 1) - own - 1
+    total = int(first[-1] + own[-1]) + 1 if len(lens) else 0
+    flat = np.zeros((GAP + total) * STEP, np.uint8)
+    if piece:
+        lo, hi = max(0, int(at[0]) - GAP * STEP), min(len(data), int(at[1]) + STEP)
+        begin = (GAP + int(first[0])) * STEP - (int(at[0]) - lo)
+        flat[begin : begin + hi - lo] = data[lo:hi]
+        if at[1] < len(data):
+            own = own - 1  # the half chunk behind is the next piece's own
+    else:
+        flat[np.arange(len(data)) + np.repeat((GAP + first) * STEP - at[:-1], lens)] = data
+    here = np.frombuffer(flat.data, "<u8", total, GAP * STEP)
     seen = np.zeros(total, bool)
     for lag in LAGS:
-        seen |= own == np.frombuffer(flat.data, "<u8", total, PAD - lag)
-    seen &= own != 0
-    return flat[PAD:].reshape(-1, STEP), seen.astype(np.float32), first
+        seen |= here == np.frombuffer(flat.data, "<u8", total, GAP * STEP - lag)
+    seen &= here != 0
+    return flat[GAP * STEP :].reshape(-1, STEP), seen.astype(np.float32), first, first + own
 
 
 def train(texts: pa.Array, y: np.ndarray, weight: np.ndarray, epochs: int = 14, batch: int = 32, rate: float = 0.01, seed: int = 11) -> Net:
@@ -113,8 +169,9 @@ def train(texts: pa.Array, y: np.ndarray, weight: np.ndarray, epochs: int = 14,
             ks = order[s : s + batch]
             blocks = np.concatenate([parts[k][0] for k in ks])
             rep = np.concatenate([parts[k][1] for k in ks])
-            first = np.concatenate(([0], np.cumsum([len(parts[k][0]) for k in ks])))
-            best, where = net.pool(blocks, rep, first, True)
+            begin = np.cumsum([0, *(len(parts[k][0]) for k in ks[:-1])])
+            first, last = begin + np.concatenate([parts[k][2] for k in ks]), begin + np.concatenate([parts[k][3] for k in ks])
+            best, where = net.pool(blocks, rep, first, last, True)
             prob, r, h = net.head(best)
             g = ((prob - y[ks]) * weight[ks] / len(ks)).astype(np.float32)
             d = {"w2": h.T @ g, "b2": g.sum()}
@@ -123,7 +180,7 @@ def train(texts: pa.Array, y: np.ndarray, weight: np.ndarray, epochs: int = 14,
             gr = (gh @ p["w1"].T) * (best > 0)  # [texts, filters]
             d["off"] = gr.sum(0)
             nxt = np.minimum(where + 1, len(blocks) - 1)
-            inside = (nxt < first[1:, None]) & (nxt > where)
+            inside = nxt < last[:, None]
             d["rep"] = np.stack([(gr * rep[where]).sum(0), (gr * rep[nxt] * inside).sum(0)])
             d["fil"], d["emb"] = np.zeros_like(p["fil"]), np.zeros_like(p["emb"])
             for half, (w, on) in enumerate(((where, None), (nxt, inside))):
@@ -148,8 +205,9 @@ def quality(docs: DataFrame, labels: DataFrame, modulus: int = 3, rest: int = 1,
 
     Trained on a bounded sample (``_labels.PER_CLASS`` of each class) of the
     labelled rows outside the fold; a score depends on the whole text and on
-    nothing else. Null texts score as empty ones; without labels every text
-    scores 0.5. Other columns are not read; an empty table gives an empty one.
+    nothing else, so rows with equal texts have equal scores. Null texts score
+    as empty ones; without labels every text scores 0.5. Very long texts are
+    read in pieces. Other columns are not read; an empty table gives an empty one.
     """
     spark = docs.sparkSession
     arrow_rows(spark)
