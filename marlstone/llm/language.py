@@ -14,6 +14,9 @@ The posterior of a language l given a record is proportional to
   language that the text alone says.
 * prior: languages of the host's records, smoothed towards those of its site
   (the last two labels), and these towards the whole corpus.
+
+A record's own verdict is left out of what its host, site, suffix and declared
+value say about it.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LOWER, SEPARATOR, arrow_rows, cut, small, steps, utf8_buffers
+from ._common import LOWER, SEPARATOR, arrow_rows, cut, pieces, small, steps, utf8_buffers
 
 #: Languages that need no support; others are read from the declared values.
 LANGUAGES = ("de", "en", "es", "fr")
@@ -56,12 +59,7 @@ def trigrams(data: np.ndarray, at: np.ndarray, buckets: int = BUCKETS) -> tuple[
     edge = at + 2 * np.arange(n + 1)
     keep[edge[:-1][edge[:-1] < len(flat)]] = True
     kept = np.cumsum(keep)
-    flat = flat[keep].astype(np.uint32)
-    first = np.concatenate(([0], kept))[edge]
-    h = (flat[:-2] * np.uint32(2654435761)) ^ (flat[1:-1] * np.uint32(2246822519)) ^ (flat[2:] * np.uint32(3266489917))
-    h ^= h >> np.uint32(15)
-    ids = ((h * np.uint32(668265263)) >> np.uint32(16)).astype(np.int64) & (buckets - 1)
-    return ids, first
+    return _hashed(flat[keep], buckets), np.concatenate(([0], kept))[edge]
 
 
 #: ASCII letters lower-cased, other ASCII a separator, bytes of longer
@@ -77,6 +75,25 @@ def _spans(first: np.ndarray, n_ids: int) -> tuple[np.ndarray, np.ndarray]:
     return a, np.maximum(a, np.minimum(first[1:] - 2, n_ids))
 
 
+def text_trigrams(data: np.ndarray, buckets: int = BUCKETS) -> Iterator[np.ndarray]:
+    """The trigrams of one text of any length, a piece at a time; each piece
+    takes up the last two kept bytes of the one before."""
+    held = np.full(1, 32, np.uint8)
+    for lo, hi in pieces(len(data)):
+        flat = np.concatenate([held, _FOLD[data[lo:hi]], np.full(int(hi == len(data)), 32, np.uint8)])
+        gap = flat == 32
+        flat = flat[~np.concatenate(([False], gap[1:] & gap[:-1]))]
+        held = flat[-2:]
+        yield _hashed(flat, buckets)
+
+
+def _hashed(flat: np.ndarray, buckets: int) -> np.ndarray:
+    flat = flat.astype(np.uint32)
+    h = (flat[:-2] * np.uint32(2654435761)) ^ (flat[1:-1] * np.uint32(2246822519)) ^ (flat[2:] * np.uint32(3266489917))
+    h ^= h >> np.uint32(15)
+    return ((h * np.uint32(668265263)) >> np.uint32(16)).astype(np.int64) & (buckets - 1)
+
+
 def language_of(value: Column) -> Column:
     """The language of a declared value: its part before - or _, lower-cased."""
     return F.lower(F.regexp_extract(F.coalesce(value.cast("string"), F.lit("")), r"^\s*([A-Za-z]+)", 1))
@@ -92,6 +109,10 @@ def trigram_counts(rows: DataFrame, languages: tuple[str, ...], buckets: int = B
             which = np.array([languages.index(x) if x in languages else -1 for x in b.column(0).to_pylist()])
             data, at = utf8_buffers(b.column(1))
             for i, j in steps(at):
+                if j == i + 1:
+                    for ids in text_trigrams(data[at[i] : at[j]], buckets) if which[i] >= 0 else ():
+                        held[which[i]] += np.bincount(ids, minlength=buckets)
+                    continue
                 ids, first = trigrams(data[at[i] : at[j]], at[i : j + 1] - at[i], buckets)
                 x, y = _spans(first, len(ids))
                 owner = np.full(len(ids), -1)
@@ -150,6 +171,14 @@ def identify(rows: DataFrame, languages: tuple[str, ...] | None = None, least: f
             out = np.zeros((b.num_rows, n + 1))
             has = np.zeros(b.num_rows, bool)
             for i, j in steps(at):
+                if j == i + 1:
+                    sums, k = np.zeros(n + 1), 0
+                    for ids in text_trigrams(data[at[i] : at[j]]):
+                        sums += logs[:, ids].sum(axis=1, dtype=np.float64)
+                        k += len(ids)
+                    has[i] = k > 0
+                    out[i] = sums * (min(k * TEMPER, EVIDENCE) / max(k, 1))
+                    continue
                 ids, first = trigrams(data[at[i] : at[j]], at[i : j + 1] - at[i])
                 x, y = _spans(first, len(ids))
                 ok = y > x
@@ -189,16 +218,22 @@ def identify(rows: DataFrame, languages: tuple[str, ...] | None = None, least: f
     df = scored
     for by in ("host", "site", "declared", "suffix"):
         df = joined(df, by)
-    zero_ = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("double")
-    all_ = lambda by: sum((zero_(f"{by}_{k}") for k in range(n)), F.lit(0.0))
+
+    def others(by: str, k: int) -> Column:
+        """Records of the value with language k, the record itself left out: a
+        lone host says nothing about its only record."""
+        own = F.col(by).isNotNull() & (F.col(by) != "") & (F.col("text_lang") == languages[k])
+        return (F.coalesce(F.col(f"{by}_{k}"), F.lit(0)) - F.when(own, 1).otherwise(0)).cast("double")
+
+    all_ = lambda by: sum((others(by, k) for k in range(n)), F.lit(0.0))
     logs = []
     for k, x in enumerate(languages):
-        site = (zero_(f"site_{k}") + INHERIT * base[x]) / (all_("site") + INHERIT)
-        prior = (zero_(f"host_{k}") + F.lit(INHERIT) * site) / (all_("host") + INHERIT)
+        site = (others("site", k) + INHERIT * base[x]) / (all_("site") + INHERIT)
+        prior = (others("host", k) + F.lit(INHERIT) * site) / (all_("host") + INHERIT)
         z = F.col("ll")[k] + F.log(prior)
         for by in ("declared", "suffix"):
             # P(value | l) over P(value): what the value adds to the prior
-            lift = (zero_(f"{by}_{k}") + INHERIT * base[x]) / ((all_(by) + INHERIT) * base[x])
+            lift = (others(by, k) + INHERIT * base[x]) / ((all_(by) + INHERIT) * base[x])
             z = z + F.when(F.col(by).isNotNull() & (F.col(by) != ""), F.log(lift)).otherwise(F.lit(0.0))
         logs.append(z)
     logs.append(F.col("ll")[n] + F.log(F.lit(1.0 / (total + n + 1))))
@@ -210,9 +245,20 @@ def identify(rows: DataFrame, languages: tuple[str, ...] | None = None, least: f
     return out.withColumn("accepted", (F.col("lang_id") != UNKNOWN) & (F.col("posterior") >= least))
 
 
+def source_host(source: Column) -> tuple[Column, Column]:
+    """(host, suffix) of a source: that of an address, else the source itself,
+    whose last label is a suffix where it has several."""
+    s = F.lower(F.trim(source.cast("string")))
+    host = F.regexp_extract(s, r"^(?:[a-z][\w+.-]*://(?:[^/@]*@)?)?([^/:?#\s]+)", 1)
+    host = F.when(host != "", host).otherwise(F.nullif(s, F.lit("")))
+    return host, F.nullif(F.regexp_extract(host, r"\.([a-z]{2,})\.?$", 1), F.lit(""))
+
+
 def document_evidence(docs: DataFrame) -> DataFrame:
-    """Documents as records: the source is the host, lang is the declared value."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").alias("declared"), F.col("source").cast("string").alias("host"), F.lit(None).cast("string").alias("suffix"))
+    """Documents as records: the source is the host (where it is an address, its
+    host, and the suffix is evidence too), lang is the declared value."""
+    host, suffix = source_host(F.col("source"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").alias("declared"), host.alias("host"), suffix.alias("suffix"))
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:
@@ -231,6 +277,7 @@ def page_evidence(pages: DataFrame) -> DataFrame:
 def language_pipeline(docs: DataFrame) -> DataFrame:
     """The rows of docs whose language is accepted; columns as in docs. Rows
     are judged one by one, those that repeat an identifier too."""
-    keyed = docs.select(F.xxhash64(*(F.col(c) for c in ("doc_id", "text", "lang", "source"))).alias("row_key"), "text", F.col("lang").alias("declared"), F.col("source").cast("string").alias("host"), F.lit(None).cast("string").alias("suffix"))
+    host, suffix = source_host(F.col("source"))
+    keyed = docs.select(F.xxhash64(*(F.col(c) for c in ("doc_id", "text", "lang", "source"))).alias("row_key"), "text", F.col("lang").alias("declared"), host.alias("host"), suffix.alias("suffix"))
     gone = cut(identify(keyed).where(~F.col("accepted")).select(F.col("row_key").alias("gone_")).distinct(), "rejected")
     return docs.join(small(gone), F.xxhash64(*(docs[c] for c in ("doc_id", "text", "lang", "source"))) == F.col("gone_"), "left_anti")
