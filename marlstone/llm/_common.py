@@ -234,14 +234,34 @@ def text_words(data: np.ndarray, fold: np.ndarray = LOWER, separator: np.ndarray
         yield mix(np.array([(held + size) & mask], np.uint64))
 
 
-def shingles(words: np.ndarray, first: np.ndarray, width: int = 5) -> list[np.ndarray]:
-    """For each text the sorted distinct hashes of its word shingles; a shorter
-    text has its whole word sequence as one, a text without words none."""
+def _rolled(words: np.ndarray, width: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         rolled = np.zeros(max(0, len(words) - width + 1), np.uint64)
         for k in range(width):
             rolled = rolled * _BASE + words[k : k + len(rolled)]
-        rolled = mix(rolled)
+        return mix(rolled)
+
+
+def text_shingles(data: np.ndarray, width: int = 5) -> np.ndarray:
+    """``shingles`` of one text of any length: beside the text it takes about 16
+    bytes a word."""
+    held, parts = np.zeros(0, np.uint64), []
+    for words in text_words(data):
+        held = np.concatenate([held, words])
+        parts.append(_rolled(held, width))
+        held = held[max(0, len(held) - width + 1) :] if len(parts[-1]) else held
+    if not sum(map(len, parts)):
+        return shingles(held, np.array([0, len(held)]), width)[0]
+    out = np.concatenate(parts)
+    parts.clear()
+    out.sort()
+    return out[np.concatenate(([True], out[1:] != out[:-1]))]
+
+
+def shingles(words: np.ndarray, first: np.ndarray, width: int = 5) -> list[np.ndarray]:
+    """For each text the sorted distinct hashes of its word shingles; a shorter
+    text has its whole word sequence as one, a text without words none."""
+    rolled = _rolled(words, width)
     out = []
     for i, j in zip(first[:-1].tolist(), first[1:].tolist()):
         if j - i >= width:

@@ -22,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import arrow_rows, cut, mix, shingles, small, steps, utf8_buffers, word_bounds, word_hashes
+from ._common import arrow_rows, cut, mix, shingles, small, steps, text_shingles, utf8_buffers, word_bounds, word_hashes
 
 WIDTH, NUM, DEN = 5, 75, 100
 BANDS, ROWS = 32, 4
 CIRCLE = 1 << 20
 #: Distinct sets that a task remembers so that it sends the bands of a set once.
 SEEN = 1 << 19
+#: Nodes that share a prefix shingle beyond which its join is split further.
+HOT = 2000
 #: Slots of the table of shingle counts that orders prefixes (a 2 MB broadcast).
 SLOTS = 1 << 18
 
@@ -58,8 +60,11 @@ def text_sets(column: pa.Array, width: int = WIDTH) -> Iterator[np.ndarray]:
     data, at = utf8_buffers(column)
     for i, j in steps(at):
         part, off = data[at[i] : at[j]], at[i : j + 1] - at[i]
-        starts, ends, first = word_bounds(part, off)
-        yield from shingles(word_hashes(part, starts, ends), first, width)
+        if j == i + 1:
+            yield text_shingles(part, width)
+        else:
+            starts, ends, first = word_bounds(part, off)
+            yield from shingles(word_hashes(part, starts, ends), first, width)
 
 
 def set_id(s: np.ndarray) -> int:
@@ -205,6 +210,23 @@ def prefixes(texts: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DE
     return texts.select("node", "comp", "text").mapInArrow(run, "shingle long, node long, comp long, n long, i long")
 
 
+def posting_sides(posts: DataFrame, num: int = NUM, den: int = DEN, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """The two sides of the prefix join, with band and salt (0 and 0 unless more
+    than ``hot`` nodes share the shingle). A hot shingle's nodes meet only those
+    of a size at which they can be similar (a band of sizes and the two beside
+    it), and one side is dealt over tasks, so that none has all of its pairs."""
+    often = cut(posts.groupBy("shingle").agg(F.count("*").alias("nodes")).where(F.col("nodes") > hot), "hot-shingles")
+    posts = posts.join(small(often), "shingle", "left")
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(1.001 * max(float(np.log(den / num)), 1e-6))).cast("long")
+    ways = F.ceil(F.col("nodes") / hot).cast("int")
+    cold = F.col("nodes").isNull()
+    x = posts.withColumn("salt", F.when(cold, 0).otherwise(F.pmod(F.xxhash64("node"), ways).cast("int")))
+    x = x.withColumn("band", F.explode(F.when(cold, F.array(F.lit(0).cast("long"))).otherwise(F.array(band - 1, band, band + 1))))
+    y = posts.withColumn("band", F.when(cold, F.lit(0).cast("long")).otherwise(band))
+    y = y.withColumn("salt", F.explode(F.when(cold, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), ways - 1))))
+    return x, y
+
+
 def near_dedup(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
@@ -236,12 +258,14 @@ def near_dedup(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = D
     rest = cut(led.join(open_, "key").select("node", "comp").distinct(), "rest")
     if rest.limit(1).count():
         posts = cut(prefixes(texts.join(small(rest), "node"), width, num, den), "prefixes")
-        x = posts.select("shingle", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("i").alias("ia"))
-        y = posts.select("shingle", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("i").alias("ib"))
+        x, y = posting_sides(posts, num, den)
+        x = x.select("shingle", "band", "salt", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("i").alias("ia"))
+        y = y.select("shingle", "band", "salt", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("i").alias("ib"))
         # at the first shingle that two texts share, none before it is shared, so
         # what they share is at most what is left of either: a bound on similarity
         left = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
-        more = x.join(y, (x["shingle"] == y["shingle"]) & (F.col("ca") < F.col("cb")) & (F.lit(den) * left >= F.lit(num) * (F.col("na") + F.col("nb") - left)))
+        same = (x["shingle"] == y["shingle"]) & (x["band"] == y["band"]) & (x["salt"] == y["salt"])
+        more = x.join(y, same & (F.col("ca") < F.col("cb")) & (F.lit(den) * left >= F.lit(num) * (F.col("na") + F.col("nb") - left)))
         more = cut(more.select("a", "b", "ca", "cb").distinct(), "across")
         found = verified(more, texts, width, num, den).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
         joined = cut(connected(found, "across"), "joined").select(F.col("node").alias("comp"), F.col("comp").alias("to"))
