@@ -18,8 +18,11 @@
    and the passage with margins. A long one is a leak; a shorter one is a
    paraphrase and a leak only if the item's answer (its last sentence) is found.
 
-Passages without any of an item's rarest words can't reach the least share of
-the common subsequence and are not compared; that loses nothing.
+A match at the least share holds one of the rarest words of its item, so a
+passage is compared if such a word lies in it or within the reach of the words
+that verification looks at; what is skipped holds no match. The cosine cut can
+lose one: the tests measure its recall against all positions of all texts.
+A large benchmark is searched part by part.
 """
 
 from __future__ import annotations
@@ -32,20 +35,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LOWER, SEPARATOR, arrow_rows, cut, small, steps, utf8_buffers, word_bounds, word_hashes
+from . import _common
+from ._common import LOWER, SEPARATOR, arrow_rows, cut, small, steps, text_words, utf8_buffers, word_bounds, word_hashes
 
 #: Directions kept, columns of the sketch, columns for what lies outside.
 RANK, SKETCH, OUTSIDE = 16, 24, 48
 #: Words of a passage and between passages; margin of words in verification.
 WINDOW, STRIDE, MARGIN = 32, 16, 12
 #: Least cosine of a candidate.
-COSINE = 0.45
+COSINE = 0.4
 #: Share of the item's words in the common subsequence: a leak, a paraphrase;
 #: share of the answer's words that a paraphrase must hold.
 EXACT, PARAPHRASE, ANSWER = 0.75, 0.6, 0.75
-#: Item windows in one block of the search; items at most (checked, then
-#: broadcast); terms in one block of the sum.
-BLOCK, MOST_ITEMS, BLOCK_ROWS = 1024, 100_000, 1024
+#: Item windows in one block of the search; items in one part of the benchmark
+#: (what a part broadcasts is bounded by it); terms in one block of the sum.
+BLOCK, PART, BLOCK_ROWS = 1024, 20_000, 1024
 
 #: Letters and digits make words; ASCII punctuation parts them.
 _FOLD = LOWER.copy()
@@ -53,13 +57,20 @@ _FOLD[:128][~np.array([chr(c).isalnum() for c in range(128)])] = 32
 _FOLD[SEPARATOR] = 32
 
 
-def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit word hashes, first word of each text); ASCII punctuation and the
-    case of Latin letters, those of Latin-1 too, don't count."""
+def fold(data: np.ndarray) -> np.ndarray:
+    """Bytes with ASCII punctuation as spaces and Latin letters, those of Latin-1
+    too, in lower case."""
     data = _FOLD[data]
     upper = np.flatnonzero(data[:-1] == 0xC3) + 1
     upper = upper[(data[upper] >= 0x80) & (data[upper] <= 0x9E) & (data[upper] != 0x97)]
     data[upper] += 0x20
+    return data
+
+
+def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit word hashes, first word of each text); punctuation and case don't
+    count."""
+    data = fold(data)
     starts, ends, first = word_bounds(data, at)
     return word_hashes(data, starts, ends), first
 
@@ -94,11 +105,22 @@ class Vocabulary:
         return at[same], k[same]
 
 
-def _texts(b: pa.RecordBatch, name: str = "text"):
-    data, at = utf8_buffers(b.column(name))
-    for i, j in steps(at, 1 << 19):
-        h, first = words(data[at[i] : at[j]], at[i : j + 1] - at[i])
-        yield i, j, h, first
+def _texts(b: pa.RecordBatch, reach: int = 0) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last row + 1, word hashes, first word of each text) of runs of
+    texts. A long text comes in pieces of whole strides, each with ``reach``
+    words of the ones beside it: memory is 8 bytes a word beside the text."""
+    data, at = utf8_buffers(b.column("text"))
+    for i, j in steps(at):
+        part = data[at[i] : at[j]]
+        if j == i + 1:
+            h = np.concatenate([np.zeros(0, np.uint64), *text_words(fold(part))])
+            size, pad = _common.STEP_BYTES // 8 // WINDOW * WINDOW or WINDOW, -(-reach // WINDOW) * WINDOW
+            for k in range(0, max(len(h), 1), size):
+                piece = h[max(0, k - pad) : k + size + pad]
+                yield i, j, piece, np.array([0, len(piece)])
+        else:
+            h, first = words(part, at[i : j + 1] - at[i])
+            yield i, j, h, first
 
 
 def omega(terms: int, seed: int = 5) -> np.ndarray:
@@ -124,13 +146,23 @@ def sketch(docs: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndar
         known, o = shared.value, omega(terms)
         z, df, n = np.zeros((terms, SKETCH), np.float32), np.zeros(terms, np.int64), 0
         for b in batches:
+            last, held = -1, np.zeros(terms, bool)  # terms of the pieces of one text
             for i, j, h, first in _texts(b):
-                n += int((np.diff(first) > 0).sum())
+                if j == i + 1 and i == last:
+                    n += int(len(h) > 0 and not words_)
+                    words_ = words_ or len(h) > 0
+                else:
+                    n += int((np.diff(first) > 0).sum())
+                    last, words_ = (i, len(h) > 0) if j == i + 1 else (-1, False)
+                    held[:] = False
                 at, t = known.find(h)
                 if not len(at):
                     continue
                 text = np.searchsorted(first, at, "right") - 1
-                for k in range(0, j - i, 64):  # a table of 64 texts by all terms
+                if j == i + 1:
+                    df[np.unique(t[~held[t]])] += 1
+                    held[t] = True
+                for k in range(0, j - i if j > i + 1 else 0, 64):  # a table of 64 texts by all terms
                     x, y = np.searchsorted(text, (k, k + 64))
                     seen = np.zeros((min(64, j - i - k), terms), bool)
                     seen[text[x:y] - k, t[x:y]] = True
@@ -189,14 +221,17 @@ def projection(v: np.ndarray, s: np.ndarray, idf: np.ndarray, seed: int = 6) ->
     return (np.hstack([v * (s[-1] / s), r - v @ (v.T @ r)]) * idf[:, None]).astype(np.float32)
 
 
-def read_items(benchmark: DataFrame) -> tuple[list[int], list[str]]:
-    """Items by identifier. The benchmark is the query set; its size is checked
-    before it reaches the driver."""
-    n = benchmark.limit(MOST_ITEMS + 1).count()
-    if n > MOST_ITEMS:
-        raise ValueError(f"a benchmark of more than {MOST_ITEMS} items: split it and run once for each part")
-    rows = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("i"), "text").orderBy("i", "text").collect()
-    return [r["i"] for r in rows], [r["text"] for r in rows]
+def parts_of(benchmark: DataFrame, most: int = PART) -> Iterator[tuple[list[int], list[str]]]:
+    """Items (identifiers, texts) in parts of about ``most`` items by hash, each
+    ordered by identifier. An item without an identifier or a text is left out:
+    there is nothing to report or to find."""
+    items = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("i"), F.col("text").cast("string").alias("text"))
+    n = items.count()
+    parts = -(-n // most)
+    for k in range(parts):
+        part = items if parts == 1 else items.where(F.pmod(F.xxhash64("i", "text"), F.lit(parts)) == k)
+        rows = part.orderBy("i", "text").collect()
+        yield [r["i"] for r in rows], [r["text"] for r in rows]
 
 
 def lcs(a: np.ndarray, b: np.ndarray) -> int:
@@ -229,26 +264,34 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     common share among its passages.
 
     Windows cover whole texts. Null and empty texts, and items without words,
-    match nothing; an empty table on either side gives an empty result. A row
-    with a null identifier is searched and reported with a null doc_id; rows
-    that repeat an identifier are reported together. Items longer than a
-    passage are searched by each of their own windows; all are verified whole.
+    an identifier or a text, match nothing; an empty table on either side gives
+    an empty result. A row with a null document identifier is searched and
+    reported with a null doc_id; rows that repeat an identifier are reported
+    together. Items longer than a passage are searched by each of their own
+    windows; all are verified whole.
     """
     spark = docs.sparkSession
     arrow_rows(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ids, texts = read_items(benchmark)
-    empty = spark.createDataFrame([], "doc_id long, item_id long, share double")
-    if not ids:
-        return empty
+    out = spark.createDataFrame([], "doc_id long, item_id long, share double")
+    for ids, texts in parts_of(benchmark):
+        if (found := _search(docs, ids, texts)) is not None:
+            out = out.union(found)
+    return out.groupBy("doc_id", "item_id").agg(F.max("share").alias("share"))
+
+
+def _search(docs: DataFrame, ids: list[int], texts: list[str]) -> DataFrame | None:
+    """(doc_id, item_id, share) of one part of the benchmark, once for each
+    piece of a text; None if there is nothing to search."""
+    spark = docs.sparkSession
     data, at = utf8_buffers(pa.array(texts))
     h, first = words(data, at)
     if not len(h):
-        return empty
+        return None
     vocabulary = Vocabulary(h)
     z, df, n = sketch(docs, vocabulary)
     if not n:
-        return empty
+        return None
     idf = np.log((n + 1) / (df + 1)) + 0.1
     v, s = latent(z * idf[:, None], omega(len(vocabulary)) / idf[:, None])
     rows = projection(v, s, idf)
@@ -265,19 +308,23 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     q = run_[e] - run_[a]
     q = (q / np.maximum(np.linalg.norm(q, axis=1), 1e-12)[:, None]).astype(np.float32)
     bags = [Counter(w.tolist()) for w in item_words]
-    shared = spark.sparkContext.broadcast((vocabulary, rows, telling, q, owner, a - first[owner], item_words, bags, answers, ids))
+    # how far from a passage a word of its match may lie
+    reach = max(map(len, item_words)) + MARGIN
+    shared = spark.sparkContext.broadcast((vocabulary, rows, telling, q, owner, a - first[owner], item_words, bags, answers, ids, COSINE))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rows, telling, q, owner, offset, item_words, bags, answers, ids = shared.value
+        known, rows, telling, q, owner, offset, item_words, bags, answers, ids, least = shared.value
         for b in batches:
             doc_ids, out = b.column("doc_id").to_pylist(), {}
-            for i, _, h, first in _texts(b):
+            for i, _, h, first in _texts(b, reach + WINDOW):
                 at, t = known.find(h)
                 if not len(at):
                     continue
                 text, a, e = passages(first)
                 rare = at[telling[t]]
-                on = np.flatnonzero(np.searchsorted(rare, e) > np.searchsorted(rare, a))
+                lo_, hi_ = np.maximum(a - reach, first[text]), np.minimum(e + reach, first[text + 1])
+                on = np.searchsorted(rare, hi_) > np.searchsorted(rare, lo_)
+                on = np.flatnonzero(on & (np.searchsorted(at, e) > np.searchsorted(at, a)))
                 if not len(on):
                     continue
                 text, a, e = text[on], a[on], e[on]
@@ -288,26 +335,27 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 x = _sums(rows[t[flat]], np.cumsum(lens) - lens)
                 x /= np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
                 for s in range(0, len(q), BLOCK):
-                    p, k = np.nonzero(x @ q[s : s + BLOCK].T > COSINE)
+                    p, k = np.nonzero(x @ q[s : s + BLOCK].T > least)
                     for p_, k_ in zip(p.tolist(), (k + s).tolist()):
                         m = int(owner[k_])
                         key = (i + int(text[p_]), m)
                         if out.get(key, 0.0) >= 1.0:
                             continue
-                        lo = int(a[p_]) - int(offset[k_]) - MARGIN
-                        hi = lo + len(item_words[m]) + 2 * MARGIN
-                        lo, hi = max(lo, int(first[text[p_]])), min(hi, int(first[text[p_] + 1]))
-                        span, bag = h[lo:hi], bags[m]
+                        from_, to = int(first[text[p_]]), int(first[text[p_] + 1])
+                        lo, bag, size = int(a[p_]) - int(offset[k_]) - MARGIN, bags[m], len(item_words[m]) + 2 * MARGIN
                         # words in common, in any order, bound the subsequence
-                        if sum(map(bag.__getitem__, bag.keys() & span.tolist())) < PARAPHRASE * len(item_words[m]):
+                        near = h[max(lo - MARGIN, from_) : max(lo + size + MARGIN, from_)][: to - max(lo - MARGIN, from_)]
+                        if sum(map(bag.__getitem__, bag.keys() & near.tolist())) < PARAPHRASE * len(item_words[m]):
                             continue
-                        hit, share = is_leak(item_words[m], answers[m], span)
-                        if hit:
-                            out[key] = max(out.get(key, 0.0), share)
+                        for shift in (0, -MARGIN, MARGIN):  # the passage begins at a stride, the match anywhere
+                            hit, share = is_leak(item_words[m], answers[m], h[max(lo + shift, from_) : min(max(lo + shift + size, from_), to)])
+                            if hit:
+                                out[key] = max(out.get(key, 0.0), share)
+                            if hit or share < PARAPHRASE - 2 * MARGIN / len(item_words[m]):
+                                break
             yield pa.RecordBatch.from_arrays([pa.array([doc_ids[r] for r, _ in out], pa.int64()), pa.array([ids[m] for _, m in out], pa.int64()), pa.array(list(out.values()), pa.float64())], ["doc_id", "item_id", "share"])
 
-    found = docs.mapInArrow(run, "doc_id long, item_id long, share double")
-    return found.groupBy("doc_id", "item_id").agg(F.max("share").alias("share"))
+    return docs.mapInArrow(run, "doc_id long, item_id long, share double")
 
 
 def _answer(text: str) -> np.ndarray:
