@@ -83,7 +83,7 @@ def subwords(data: np.ndarray, at: np.ndarray, buckets: int = BUCKETS) -> tuple[
     repeated = np.cumsum(mark[:-1], dtype=np.int8) > 0
     positions, ids = [], []
     for k in SIZES:
-        if size < k + 1:
+        if size < k:
             positions.append(np.zeros(0, np.int64))
             ids.append(np.zeros(0, np.int64))
             continue
