@@ -420,8 +420,8 @@ def prune(p: Page, known: Known) -> tuple[list[bool], set[int]]:
     what holds it. A heading goes if all that follows it, up to the next, does.
 
     The fewer pages say it the less they may take: without a main branch at
-    most 1 - 1/n of a page's text, where n pages share a content. What would
-    take more is a copy of the page, and the page stays whole.
+    most 1 - 1/n of a page's text, where n pages have the node or share the
+    content. What would take more is a copy of the page, and it stays whole.
     """
     n, own, marked = len(p.tag), p.own(), p.removed()
     text, _, length = p.branches(own)
@@ -448,7 +448,7 @@ def prune(p: Page, known: Known) -> tuple[list[bool], set[int]]:
             continue
         importance, met, _ = known.get((p.path[e], 0, ANY), (1.0, 1, 0.0))
         shared, among, _ = known.get((p.path[e], 1, text[e]), (1.0, 1, 0.0))
-        pages = max(pages, among)
+        pages = max(pages, among, met if importance < LEAST else 1)
         importance = 1.0 if part else min(importance, shared)
         if given:
             importance *= met / (met + MARKED)
