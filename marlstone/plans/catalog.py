@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import figures
 from ..operators import alignment, backtest, rolling, structure
 from ..sources import panels, store, universes
-from . import experiments
+from . import dense_sql, experiments
 
 PLACES = 7
 TIE = 1.23e-7
@@ -256,12 +256,49 @@ def _matrix(spark: SparkSession, sf_dir: str, key: str, estimator: str, method:
     return structure.matrices(returns(spark, sf_dir, key).withColumn("one", F.lit(1)), ["one"], estimator, method)
 
 
+ONE = "wr as (select 0 as window_id, date, asset, ret from rt)"
+
+
+def estimated_sql(estimator: str) -> str:
+    """CTEs from wr: wp (pairs), ob (dates of a window), cm (the estimator's
+    matrices), fc (pairs of it), sh (shrinkage) or cm_f (random-matrix fit)."""
+    out = [
+        dense_sql.pairs("wr", "wp"),
+        "ob as (select window_id, count(distinct date) as t, strftime(min(date), '%Y-%m-%d') as window_start, strftime(max(date), '%Y-%m-%d') as window_end from wr group by 1)",
+    ]
+    if estimator == "sample":
+        out.append(dense_sql.matrix("wp", "cm"))
+    elif estimator == "ledoit_wolf":
+        out += [dense_sql.shrunk("wr", "wp", "lp"), dense_sql.matrix("lp", "cm")]
+    else:
+        out += [dense_sql.matrix("wp", "rm"), dense_sql.clipped("rm", "ob", "cm")]
+    return ",\n".join([*out, dense_sql.entries("cm", "fc")])
+
+
+def info_sql(estimator: str) -> tuple[str, str]:
+    """(join, columns) of an estimator's own diagnostics, null for the others'."""
+    fit = "n_factors::int as n_factors, " + r("lambda_plus", "lambda_plus") + ", " + r("s2", "sigma_squared") if estimator == "rmt_clipped" else "null::int as n_factors, null::double as lambda_plus, null::double as sigma_squared"
+    shrinkage = r("shrinkage", "shrinkage") if estimator == "ledoit_wolf" else "null::double as shrinkage"
+    join = {"rmt_clipped": "join (select window_id, n_factors, lambda_plus, s2 from cm_f) using (window_id)", "ledoit_wolf": "join lp_s using (window_id)"}.get(estimator, "")
+    return join, f"{fit}, {shrinkage}"
+
+
+SPECTRAL = ", ".join(r(c, c) for c in ("mean_correlation", "absorption_ratio", "pc1_share", "effective_dimension", "condition_number"))
 for _e in ("sample", "ledoit_wolf", "rmt_clipped"):
-    query(f"matrix_{_e}")(lambda s, d, e=_e: _matrix(s, d, "PN-S", e).select("n_assets", "n_obs", "q", "mean_correlation", "absorption_ratio", "pc1_share", "effective_dimension", "n_factors", "lambda_plus", "sigma_squared", "shrinkage", "condition_number"))
+    _join, _info = info_sql(_e)
+    query(f"matrix_{_e}", f"with recursive {aligned_sql('PN-S')}, {ONE}, {estimated_sql(_e)},\n{dense_sql.spectral('cm', 'sx')}\nselect n::int as n_assets, t::int as n_obs, {r('n / t::double', 'q')}, {SPECTRAL}, {_info} from sx join ob using (window_id) {_join}")(
+        lambda s, d, e=_e: _matrix(s, d, "PN-S", e).select("n_assets", "n_obs", "q", "mean_correlation", "absorption_ratio", "pc1_share", "effective_dimension", "n_factors", "lambda_plus", "sigma_squared", "shrinkage", "condition_number"))
+_shrunk = f"with recursive {aligned_sql('PN-S')}, {ONE}, {estimated_sql('ledoit_wolf')}"
 for _m in ("single", "complete", "average", "ward"):
-    query(f"linkage_{_m}")(lambda s, d, m=_m: _matrix(s, d, "PN-S", "ledoit_wolf", m).select(F.posexplode("merges").alias("step", "m")).select("step", "m.*"))
-query("cluster_members")(lambda s, d: _matrix(s, d, "PN-S", "ledoit_wolf").select(F.explode(F.arrays_zip("assets", "clusters", "hrp", "ivp")).alias("x")).select(F.col("x.assets").alias("asset"), F.col("x.clusters").alias("cluster"), F.col("x.hrp").alias("hrp"), F.col("x.ivp").alias("ivp")))
-query("clustering_asof")(lambda s, d: rolling.clustering(returns(s, d, "PN-S"), "1997-12-31", 104).select("cophenetic", "depth_ratio", F.array_join("leaf_order", ",").alias("leaf_order")))
+    query(f"linkage_{_m}", f"{_shrunk},\n{dense_sql.linkage('cm', 'lk', _m)}\nselect step::int as step, lft::int as \"left\", rgt::int as \"right\", {r('height', 'height')}, size::int as size from lk")(
+        lambda s, d, m=_m: _matrix(s, d, "PN-S", "ledoit_wolf", m).select(F.posexplode("merges").alias("step", "m")).select("step", "m.*"))
+LINKS = f"{dense_sql.linkage('cm', 'lk')},\n{dense_sql.cophenetic('lk', 'cm', 'co')}"
+query("cluster_members", f"{_shrunk},\n{LINKS},\n{dense_sql.flat('lk', 'cm', 'fl')},\n{dense_sql.parity('co', 'cm', 'wr', 'hp')}\nselect asset, cluster, {r('h', 'hrp')}, {r('v', 'ivp')} from fl join hp using (window_id, asset)")(
+    lambda s, d: _matrix(s, d, "PN-S", "ledoit_wolf").select(F.explode(F.arrays_zip("assets", "clusters", "hrp", "ivp")).alias("x")).select(F.col("x.assets").alias("asset"), F.col("x.clusters").alias("cluster"), F.col("x.hrp").alias("hrp"), F.col("x.ivp").alias("ivp")))
+ASOF = "1997-12-31"
+_asof = f"""with recursive {aligned_sql('PN-S')}, wd as (select date from (select distinct date from rt) where date <= date '{ASOF}' order by date desc limit {WINDOW}), wr as (select 0 as window_id, date, asset, ret from rt join wd using (date)), {estimated_sql('rmt_clipped')}"""
+query("clustering_asof", f"{_asof},\n{LINKS}\nselect {r('cophenetic', 'cophenetic')}, {r('depth_ratio', 'depth_ratio')}, array_to_string(list_transform(leaf_order, lambda i: names[i + 1]), ',') as leaf_order from co join (select window_id, names from cm) using (window_id)")(
+    lambda s, d: rolling.clustering(returns(s, d, "PN-S"), ASOF, WINDOW).select("cophenetic", "depth_ratio", F.array_join("leaf_order", ",").alias("leaf_order")))
 query("marchenko_pastur", "select q, s2, round(s2 * pow(1 + sqrt(q), 2), 7) + 0.0 as edge from (values (0.0, 1.0), (0.25, 1.0), (1.0, 1.0), (0.25, 2.0)) t(q, s2)".replace("select q, s2,", "select q::double as q, s2::double as s2,"))(
     lambda s, d: s.createDataFrame([(0.0, 1.0), (0.25, 1.0), (1.0, 1.0), (0.25, 2.0)], "q double, s2 double").withColumn("edge", F.col("s2") * F.pow(1 + F.sqrt("q"), F.lit(2.0))))
 
@@ -388,8 +425,8 @@ query("universe_groups", "select universe, grp, n from (values " + ", ".join(f"(
 _GRID = (experiments.Cell("60d", "momentum", 60), experiments.Cell("managed_60d", "managed", 60, 1.0), experiments.Cell("low_60d", "low_long", 60), experiments.Cell("low_60d_ls", "low_short", 60))
 query("experiment_explore")(lambda s, d: experiments.explore(_rt(s, d), "PN-F", _GRID, "A"))
 query("experiment_holdout")(lambda s, d: experiments.holdout(_rt(s, d), "PN-F", _GRID, s.createDataFrame([(c.name,) for c in _GRID[:2]], "variant string"), experiments.HOLDOUT_T["momentum"], "A"))
-query("figure_heatmap")(lambda s, d: figures.heatmap(_matrix(s, d, "PN-S", "ledoit_wolf")))
-query("figure_spectrum")(lambda s, d: figures.spectrum_series(_matrix(s, d, "PN-S", "rmt_clipped")))
+query("figure_heatmap", f"{_shrunk},\n{LINKS},\nhm as (select names, m, n, leaf_order, unnest(range(n * n)) as k from cm join (select window_id, leaf_order from co) using (window_id))\nselect (list_position(leaf_order, k // n) - 1)::int as row, (list_position(leaf_order, k % n) - 1)::int as column, names[k // n + 1] as a, names[k % n + 1] as b, {r('m[k + 1]', 'rho')} from hm")(lambda s, d: figures.heatmap(_matrix(s, d, "PN-S", "ledoit_wolf")))
+query("figure_spectrum", f"with recursive {aligned_sql('PN-S')}, {ONE}, {estimated_sql('rmt_clipped')},\n{dense_sql.spectral('cm', 'sx')}\nselect k::int as rank, {r('spectrum[k]', 'eigenvalue')}, {r('lambda_plus', 'lambda_plus')} from (select *, unnest(range(1, n + 1)) as k from sx) join (select window_id, lambda_plus from cm_f) using (window_id)")(lambda s, d: figures.spectrum_series(_matrix(s, d, "PN-S", "rmt_clipped")))
 
 
 @query("figure_network_nodes")
