@@ -217,11 +217,12 @@ def cophenetic(z: np.ndarray) -> np.ndarray:
 
 
 def cophenetic_correlation(d: np.ndarray, z: np.ndarray) -> float:
+    """NaN where distances or heights don't vary by more than rounding does."""
     i, j = np.triu_indices(len(d), 1)
-    if len(i) < 2:
+    x, y = d[i, j], cophenetic(z)[i, j]
+    if len(i) < 2 or min(x.std(), y.std()) <= 1e-12:
         return float("nan")
-    with np.errstate(invalid="ignore"):
-        return float(np.corrcoef(d[i, j], cophenetic(z)[i, j])[0, 1])
+    return float(np.corrcoef(x, y)[0, 1])
 
 
 def flat_clusters(z: np.ndarray, k: int) -> list[int]:

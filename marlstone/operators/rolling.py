@@ -120,6 +120,10 @@ def diagnostic_summary(windows: DataFrame, columns: list[str]) -> DataFrame:
     return long.where("v is not null and not isnan(v)").groupBy("metric").agg(F.min("v").alias("min"), F.percentile("v", F.lit(0.5)).alias("median"), F.max("v").alias("max"), F.percentile("v", F.lit(0.25)).alias("q25"), F.percentile("v", F.lit(0.75)).alias("q75"))
 
 
+#: Measures of ``allocation``.
+ALLOCATION = ("max_gap_hrp_ivp", "max_gap_hrp_ew", "corr_hrp_ivp", "eff_n_hrp", "eff_n_ivp", "max_weight_hrp", "turnover_hrp", "turnover_ivp")
+
+
 def allocation(m: DataFrame) -> DataFrame:
     """window_end and how the hierarchical allocation differs from the inverse
     variance and the equal one; turnovers against the window before."""
@@ -137,6 +141,18 @@ def allocation(m: DataFrame) -> DataFrame:
     )
 
 
+def allocation_summary(a: DataFrame) -> DataFrame:
+    """One row over the windows of ``allocation``: medians, extremes, the 90th
+    percentile of the turnovers and the ratio of their medians; nulls left out,
+    and a null ratio where the median inverse-variance turnover is 0."""
+    mid = lambda c: F.percentile(c, F.lit(0.5))
+    return a.agg(
+        F.count("*").alias("n_windows"), mid("max_gap_hrp_ivp").alias("median_max_gap_hrp_ivp"), F.max("max_gap_hrp_ivp").alias("largest_max_gap_hrp_ivp"), mid("max_gap_hrp_ew").alias("median_max_gap_hrp_ew"),
+        mid("corr_hrp_ivp").alias("median_corr_hrp_ivp"), F.min("corr_hrp_ivp").alias("least_corr_hrp_ivp"), *(mid(c).alias(f"median_{c}") for c in ALLOCATION[3:]),
+        *(F.percentile(c, F.lit(0.9)).alias(f"p90_{c}") for c in ALLOCATION[6:]), F.try_divide(mid("turnover_hrp"), mid("turnover_ivp")).alias("turnover_ratio"),
+    )
+
+
 def correlation_at(returns: DataFrame, end: str, window: int = 252, estimator: str = "rmt_clipped") -> DataFrame:
     """The matrix row of the window that ends on a trading day. Another day, or
     too short a history before it, fails the query."""

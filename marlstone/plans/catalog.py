@@ -327,14 +327,60 @@ def _built(spark: SparkSession, sf_dir: str, estimator: str) -> dict[str, DataFr
     return rolling.windows_table(returns(spark, sf_dir, "PN-S"), groups(spark, sf_dir, "PN-S"), WINDOW, STEP, estimator)
 
 
-query("rolling_windows")(lambda s, d: _built(s, d, "rmt_clipped")["windows"])
-query("rolling_edges")(lambda s, d: _built(s, d, "rmt_clipped")["edges"].drop("window_id"))
+def built_sql(estimator: str) -> str:
+    """CTEs of the rolling build: wide (a row a window), mst, fl and hp besides
+    those of estimated_sql."""
+    join, info = info_sql(estimator)
+    return f"""with recursive {aligned_sql('PN-S')}, {windows_sql()}, {estimated_sql(estimator)},
+{dense_sql.spectral('cm', 'sx')},
+{LINKS},
+{dense_sql.flat('lk', 'cm', 'fl')},
+{dense_sql.parity('co', 'cm', 'wr', 'hp')},
+dd as (select window_id, i, j, d as length, row_number() over (partition by window_id order by d, i, j) as d from fc),
+{tree_sql(5, 'window_id')},
+gr as (select distinct asset, grp from ({panels.SQL['PN-S']})),
+tl as (select window_id, avg(length) as tree_length from mst group by 1),
+dg as (select window_id, asset, count(*) as degree from (select window_id, i as asset from mst union all select window_id, j from mst) group by all),
+hb as (select window_id, arg_min(asset, (-degree, asset)) as hub from dg group by 1),
+pu as (select window_id, avg(case when x.grp = y.grp then 1.0 else 0.0 end) as purity from mst join gr x on x.asset = mst.i join gr y on y.asset = mst.j group by 1),
+bl as (select window_id, sum(c * (c - 1)) / (sum(c) * (sum(c) - 1)) as baseline from (select window_id, grp, count(*)::double as c from dg join gr using (asset) group by all) group by 1),
+sv as (select y.window_id, count(x.i) / count(*)::double as edge_survival from mst p join (select distinct window_id from mst) y on y.window_id = p.window_id + 1 left join mst x on x.window_id = y.window_id and x.i = p.i and x.j = p.j group by 1),
+wide as (select *, n / t::double as q, case when baseline > 0 then purity / baseline end as purity_lift from sx join ob using (window_id) join (select window_id, cophenetic, depth_ratio from co) using (window_id)
+  join tl using (window_id) join hb using (window_id) join pu using (window_id) join bl using (window_id) left join sv using (window_id) {join})"""
+
+
+_INDICES = ("q", "mean_correlation", "absorption_ratio", "pc1_share", "effective_dimension", "condition_number", "cophenetic", "depth_ratio", "tree_length", "purity", "purity_lift", "edge_survival")
+for _e, _name in (("rmt_clipped", "rolling_windows"), ("sample", "rolling_windows_sample"), ("ledoit_wolf", "rolling_windows_ledoit_wolf")):
+    query(_name, f"{built_sql(_e)}\nselect window_end, window_start, n::int as n_assets, t::int as n_obs, hub, {', '.join(r(c, c) for c in _INDICES)}, {info_sql(_e)[1]} from wide")(lambda s, d, e=_e: _built(s, d, e)["windows"])
+query("rolling_edges", f"{built_sql('rmt_clipped')}\nselect window_end, i as source, j as target, {r('length', 'distance')} from mst join ob using (window_id)")(lambda s, d: _built(s, d, "rmt_clipped")["edges"].drop("window_id"))
 query("rolling_layout_drift")(lambda s, d: rolling.layout_drift(_built(s, d, "rmt_clipped")["layouts"]))
-query("rolling_cluster_stability")(lambda s, d: rolling.cluster_stability(_built(s, d, "ledoit_wolf")["matrices"]))
-query("allocation_sensitivity")(lambda s, d: rolling.allocation(_built(s, d, "ledoit_wolf")["matrices"]))
-
-
-@query("diagnostic_summary")
+STABILITY = """n2 as (select x.window_id, x.cluster as a, y.cluster as b, count(*)::double as n from fl x join fl y on y.window_id = x.window_id - 1 and y.asset = x.asset group by all),
+ij as (select window_id, sum(n * (n - 1) / 2) as ij, sum(n) as t from n2 group by 1), si as (select window_id, sum(m * (m - 1) / 2) as si from (select window_id, sum(n) as m from n2 group by window_id, a) group by 1),
+sj as (select window_id, sum(m * (m - 1) / 2) as sj from (select window_id, sum(n) as m from n2 group by window_id, b) group by 1),
+cs as (select window_id, case when (si + sj) / 2 - e = 0 then 1.0 else (ij - e) / ((si + sj) / 2 - e) end as cluster_stability from (select *, si * sj / (t * (t - 1) / 2) as e from ij join si using (window_id) join sj using (window_id)))"""
+query("rolling_cluster_stability", f"{built_sql('ledoit_wolf')},\n{STABILITY}\nselect window_end, {r('cluster_stability', 'cluster_stability')} from cs join ob using (window_id)")(lambda s, d: rolling.cluster_stability(_built(s, d, "ledoit_wolf")["matrices"]))
+ALLOCATION = """al as (select *, 1.0 / count(*) over (partition by window_id) as e, lag(h) over w as ph, lag(v) over w as pv from hp window w as (partition by asset order by window_id)),
+aw as (select window_id, max(abs(h - v)) as max_gap_hrp_ivp, max(abs(h - e)) as max_gap_hrp_ew, corr(h, v) as corr_hrp_ivp, 1 / sum(h * h) as eff_n_hrp, 1 / sum(v * v) as eff_n_ivp, max(h) as max_weight_hrp, sum(abs(h - ph)) as turnover_hrp, sum(abs(v - pv)) as turnover_ivp from al group by 1)"""
+query("allocation_sensitivity", f"{built_sql('ledoit_wolf')},\n{ALLOCATION}\nselect window_end, {', '.join(r(c, c) for c in rolling.ALLOCATION)} from aw join ob using (window_id)")(lambda s, d: rolling.allocation(_built(s, d, "ledoit_wolf")["matrices"]))
+query(
+    "allocation_summary",
+    f"""{built_sql('ledoit_wolf')},
+{ALLOCATION}
+select count(*) as n_windows, {r('median(max_gap_hrp_ivp)', 'median_max_gap_hrp_ivp')}, {r('max(max_gap_hrp_ivp)', 'largest_max_gap_hrp_ivp')}, {r('median(max_gap_hrp_ew)', 'median_max_gap_hrp_ew')}, {r('median(corr_hrp_ivp)', 'median_corr_hrp_ivp')}, {r('min(corr_hrp_ivp)', 'least_corr_hrp_ivp')},
+  {r('median(eff_n_hrp)', 'median_eff_n_hrp')}, {r('median(eff_n_ivp)', 'median_eff_n_ivp')}, {r('median(max_weight_hrp)', 'median_max_weight_hrp')}, {r('median(turnover_hrp)', 'median_turnover_hrp')}, {r('median(turnover_ivp)', 'median_turnover_ivp')},
+  {r('quantile_cont(turnover_hrp, 0.9)', 'p90_turnover_hrp')}, {r('quantile_cont(turnover_ivp, 0.9)', 'p90_turnover_ivp')}, {r('median(turnover_hrp) / median(turnover_ivp)', 'turnover_ratio')} from aw""",
+)(lambda s, d: rolling.allocation_summary(rolling.allocation(_built(s, d, "ledoit_wolf")["matrices"])))
+DIAGNOSED = ("mean_correlation", "absorption_ratio", "pc1_share", "effective_dimension", "tree_length", "cophenetic", "depth_ratio", "edge_survival", "purity", "purity_lift", "cluster_stability")
+
+
+@query(
+    "diagnostic_summary",
+    f"""{built_sql('ledoit_wolf')},
+{STABILITY},
+wc as (select wide.*, cluster_stability from wide left join cs using (window_id)),
+ms as ({" union all ".join(f"select '{c}' as metric, {c} as v from wc" for c in DIAGNOSED)})
+select metric, {r('min(v)', 'min')}, {r('median(v)', 'median')}, {r('max(v)', 'max')}, {r('quantile_cont(v, 0.25)', 'q25')}, {r('quantile_cont(v, 0.75)', 'q75')} from ms where v is not null group by 1""",
+)
 def _diagnose(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _built(spark, sf_dir, "ledoit_wolf")
     w = rolling.diagnostic_windows(t["matrices"], groups(spark, sf_dir, "PN-S"))

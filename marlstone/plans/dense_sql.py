@@ -124,10 +124,11 @@ def linkage(of: str, out: str, method: str = "average") -> str:
 
 
 def cophenetic(links: str, of: str, out: str) -> str:
-    """(window_id, cophenetic, depth_ratio, leaf_order)."""
+    """(window_id, cophenetic, depth_ratio, leaf_order); cophenetic is null where
+    distances or heights don't vary."""
     return f"""{out}_p as (select window_id, height, a, unnest(lb) as b from (select window_id, height, unnest(la) as a, lb from {links})),
 {out}_d as (select p.window_id, p.height, sqrt(2 * (1 - m[{at('a', 'b')}])) as d from {out}_p p join {of} c on p.window_id = c.window_id),
-{out}_c as (select window_id, corr(d, height) as cophenetic from {out}_d group by 1),
+{out}_c as (select window_id, case when least(stddev_pop(d), stddev_pop(height)) > 1e-12 then corr(d, height) end as cophenetic from {out}_d group by 1),
 {out}_h as (select window_id, list_reverse_sort(list(height)) as h, arg_max(la || lb, step) as leaf_order from {links} group by 1),
 {out} as (select window_id, cophenetic, (h[1] - h[2]) / h[1] as depth_ratio, leaf_order from {out}_c join {out}_h using (window_id))"""
 
