@@ -469,8 +469,51 @@ query("universe_groups", "select universe, grp, n from (values " + ", ".join(f"(
     lambda s, d: reduce(DataFrame.union, (u.table(s) for u in universes.UNIVERSES.values())).groupBy("universe", "grp").agg(F.count("*").alias("n")))
 
 _GRID = (experiments.Cell("60d", "momentum", 60), experiments.Cell("managed_60d", "managed", 60, 1.0), experiments.Cell("low_60d", "low_long", 60), experiments.Cell("low_60d_ls", "low_short", 60))
-query("experiment_explore")(lambda s, d: experiments.explore(_rt(s, d), "PN-F", _GRID, "A"))
-query("experiment_holdout")(lambda s, d: experiments.holdout(_rt(s, d), "PN-F", _GRID, s.createDataFrame([(c.name,) for c in _GRID[:2]], "variant string"), experiments.HOLDOUT_T["momentum"], "A"))
+
+
+def experiment_sql(part: str, variants: tuple[str, ...], columns: str) -> str:
+    """The cells of _GRID on one part of PN-F: every variant's weights, one path
+    each, statistics, ratios by cost, and the two benchmarks."""
+    at_ = f"pos >= {LOOKBACK - 1} and (pos - {LOOKBACK - 1}) % {EVERY} = 0"
+    names = ", ".join(f"('{v}')" for v in (*variants, "equal", "single"))
+    sharpe = "case when s > 0 then m / s * sqrt(ppy) end"
+    cost = lambda c: f"case when s{c} > 0 then (g - t * {c / 1e4}) / s{c} * sqrt(ppy) end"
+    return f"""with {aligned_sql('PN-F', tag='a')},
+pa as (select date, row_number() over (order by date) - 1 as place, count(*) over () as all_ from (select distinct date from rta)),
+rt as (select rta.* from rta join pa using (date) where place {'<' if part == 'explore' else '>='} floor(all_ * 0.7)),
+ps as (select date, row_number() over (order by date) - 1 as pos from (select distinct date from rt)),
+na as (select count(distinct asset) as n from rt),
+tr as (select date, asset, pos, n, case when count(*) over w >= {LOOKBACK} then sum(ret) over w end as s, case when count(*) over w >= {LOOKBACK} then stddev_samp(ret) over w end as vol
+  from rt join ps using (date) cross join na window w as (partition by asset order by date rows between {LOOKBACK - 1} preceding and current row)),
+bs as (select date, avg(ret) as ret from rt group by date),
+bv as (select date, case when count(*) over w >= {LOOKBACK} then stddev_samp(ret) over w * sqrt(252.0) end as base from bs window w as (order by date rows between {LOOKBACK - 1} preceding and current row)),
+rk as (select *, row_number() over (partition by date order by vol nulls last, asset) as r, count(vol) over (partition by date) as m from tr join bv using (date)),
+va as (select * from (values {names}) t(variant)),
+wt as (select variant, date, asset, case variant
+    when '60d' then case when {at_} then case when s > 0 then 1.0 else 0.0 end / n end
+    when 'managed_60d' then case when {at_} then least(1.0 / base, 1.5) / n end
+    when 'low_60d' then case when {at_} and m >= 2 then case when vol is not null and r <= 1 then 1.0 else 0.0 end end
+    when 'low_60d_ls' then case when {at_} and m >= 2 then case when vol is null then 0.0 when r <= 1 then 1.0 when r > m - 1 then -1.0 else 0.0 end end
+    when 'equal' then case when pos % {EVERY} = 0 then 1.0 / n end
+    else case when asset = 'A' then 1.0 else 0.0 end end as weight from rk cross join va),
+tg as (select variant, date, asset, ret, coalesce(last_value(weight ignore nulls) over (partition by variant, asset order by date rows between unbounded preceding and current row), 0.0) as target from rt join wt using (date, asset)),
+hd as (select *, coalesce(lag(target) over (partition by variant, asset order by date), 0.0) as held from tg),
+dy as (select variant, date, sum(held * ret) as gross, sum(abs(target - held)) as turnover, sum(held) as exposure from hd group by all),
+eq as (select *, gross - turnover * 0.0025 as net, product(1 + gross - turnover * 0.0025) over (partition by variant order by date rows between unbounded preceding and current row) as equity from dy),
+cv as (select *, equity / max(equity) over (partition by variant order by date rows between unbounded preceding and current row) - 1 as drawdown from eq),
+st as (select *, case when n < 2 or d <= 0 then 252.0 else n / (d / 365.25) end as ppy from (
+  select variant, avg(net) as m, stddev_samp(net) as s, count(*)::double as n, max(date)::date - min(date)::date as d, arg_max(equity, date) as e, min(drawdown) as max_drawdown, avg(gross) as g, avg(turnover) as t, avg(exposure) as average_exposure,
+    {', '.join(f'stddev_samp(gross - turnover * {c / 1e4}) as s{c}' for c in experiments.COSTS)} from cv group by 1)),
+ce as (select 'PN-F' as universe, variant, (select n from na)::int as n_assets, n::bigint as n_obs, {sharpe} as sharpe, {sharpe} * sqrt(n / ppy) as t_statistic, case when e >= 0 then pow(e, ppy / n) - 1 end as cagr, s * sqrt(ppy) as vol, max_drawdown, t * ppy as turnover_per_year, average_exposure,
+  {', '.join(f'{cost(c)} as sharpe_{c}' for c in experiments.COSTS)}, case when g <= 0 then 0.0 when t = 0 then 500.0 * (1 - pow(2.0, -41)) else least(g / t * 1e4, 500.0 * (1 - pow(2.0, -41))) end as breakeven_bps from st),
+fi as (select ce.*, e.sharpe as equal_weight_sharpe, o.sharpe as single_sharpe, coalesce(ce.sharpe >= {experiments.KILL}, false) as passes_kill, coalesce(ce.sharpe > greatest(e.sharpe, o.sharpe), false) as beats_benchmarks
+  from ce cross join (select sharpe from ce where variant = 'equal') e cross join (select sharpe from ce where variant = 'single') o where ce.variant not in ('equal', 'single'))
+select universe, variant, n_assets, n_obs, {', '.join(r(c, c) for c in ('sharpe', 't_statistic', 'cagr', 'vol', 'max_drawdown', 'turnover_per_year', 'average_exposure', 'sharpe_10', 'sharpe_25', 'sharpe_50', 'breakeven_bps', 'equal_weight_sharpe', 'single_sharpe'))}, passes_kill, beats_benchmarks{columns} from fi"""
+
+
+query("experiment_explore", experiment_sql("explore", tuple(c.name for c in _GRID), ""))(lambda s, d: experiments.explore(_rt(s, d), "PN-F", _GRID, "A"))
+query("experiment_holdout", experiment_sql("holdout", tuple(c.name for c in _GRID[:2]), f", case when beats_benchmarks and coalesce(abs(t_statistic) > {experiments.HOLDOUT_T['momentum']}, false) and coalesce(sharpe > 0, false) then 'survives' else 'fails' end as verdict"))(
+    lambda s, d: experiments.holdout(_rt(s, d), "PN-F", _GRID, s.createDataFrame([(c.name,) for c in _GRID[:2]], "variant string"), experiments.HOLDOUT_T["momentum"], "A"))
 query("figure_heatmap", f"{_shrunk},\n{LINKS},\nhm as (select names, m, n, leaf_order, unnest(range(n * n)) as k from cm join (select window_id, leaf_order from co) using (window_id))\nselect (list_position(leaf_order, k // n) - 1)::int as row, (list_position(leaf_order, k % n) - 1)::int as column, names[k // n + 1] as a, names[k % n + 1] as b, {r('m[k + 1]', 'rho')} from hm")(lambda s, d: figures.heatmap(_matrix(s, d, "PN-S", "ledoit_wolf")))
 query("figure_spectrum", f"with recursive {aligned_sql('PN-S')}, {ONE}, {estimated_sql('rmt_clipped')},\n{dense_sql.spectral('cm', 'sx')}\nselect k::int as rank, {r('spectrum[k]', 'eigenvalue')}, {r('lambda_plus', 'lambda_plus')} from (select *, unnest(range(1, n + 1)) as k from sx) join (select window_id, lambda_plus from cm_f) using (window_id)")(lambda s, d: figures.spectrum_series(_matrix(s, d, "PN-S", "rmt_clipped")))
 
