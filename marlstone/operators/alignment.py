@@ -7,11 +7,13 @@ per date.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .held import hold
+
 #: Days by which a history may begin after, or end before, the panel's.
 TOLERANCE_DAYS = 7
 
@@ -23,15 +25,17 @@ def _day(c: str) -> Column:
 @dataclass
 class Panel:
     """prices: date, asset, price without gaps; report: a row per asset asked
-    for (asset, status, reason, gaps, filled); summary: one row."""
+    for (asset, status, reason, gaps, filled); summary: one row; placed: prices
+    with ``pos``, the date's place in the calendar."""
 
     prices: DataFrame
     report: DataFrame
     summary: DataFrame
+    placed: DataFrame
 
 
-def align(prices: DataFrame, requested: DataFrame | None = None, limit: int = 3, start: str | None = None, end: str | None = None, tolerance: int = TOLERANCE_DAYS) -> Panel:
-    """Aligned panel of ``prices``.
+def align(prices: DataFrame, requested: DataFrame | None = None, limit: int = 3, start: str | None = None, end: str | None = None, tolerance: int = TOLERANCE_DAYS, by: list[str] = []) -> Panel:
+    """Aligned panel of ``prices``, one for each value of the key columns ``by``.
 
     1. Dates from ``start`` to ``end`` inclusive; the calendar is the union of
        all assets' dates. 2. Assets whose first price is more than ``tolerance``
@@ -43,34 +47,40 @@ def align(prices: DataFrame, requested: DataFrame | None = None, limit: int = 3,
     ``requested`` (asset) adds rows for assets without any price. The number of
     filled cells counts those of assets dropped in step 5. An empty range keeps
     no asset.
+
+    No grid of assets by dates is made: a row's place in the calendar and that
+    of the asset's next row say what is missing between them, and only rows
+    that are filled are added. The prices are read once.
     """
-    known = prices.where(F.col("price").isNotNull()).select("date", "asset", "price")
+    known = hold(prices.where(F.col("price").isNotNull()).select(*by, "date", "asset", "price"))
     inside = known
     if start is not None:
         inside = inside.where(F.col("date") >= F.lit(start).cast("date"))
     if end is not None:
         inside = inside.where(F.col("date") < F.date_add(F.lit(end).cast("date"), 1))
-    names = (requested.select("asset") if requested is not None else known.select("asset")).distinct()
-    spans = inside.groupBy("asset").agg(F.min("date").alias("first"), F.max("date").alias("last"))
+    spans = inside.groupBy(*by, "asset").agg(F.min("date").alias("first"), F.max("date").alias("last"))
     # a row per asset from here on: its span, and the panel's after each drop
-    one = Window.partitionBy(F.lit(1))
+    one = Window.partitionBy(*(by or [F.lit(1)]))
     spans = spans.withColumn("p0", F.min("first").over(one)).withColumn("late", F.datediff(_day("first"), _day("p0")) > tolerance)
     spans = spans.withColumn("p1", F.max(F.when(~F.col("late"), F.col("last"))).over(one)).withColumn("stale", ~F.col("late") & (F.datediff(_day("p1"), _day("last")) > tolerance))
-    kept = spans.where(~F.col("late") & ~F.col("stale")).select("asset", "last")
-    own = inside.join(kept.select("asset"), "asset", "left_semi")
-    # the grid of a small dimension of assets by the calendar
-    grid = own.select("date").distinct().crossJoin(F.broadcast(kept))
-    w = Window.partitionBy("asset").orderBy("date")
-    cells = grid.join(own, ["date", "asset"], "left").withColumn("value", F.last("price", ignorenulls=True).over(w.rowsBetween(-limit, 0)))
-    gaps = cells.groupBy("asset").agg(
-        F.count(F.when(F.col("price").isNull() & F.col("value").isNotNull(), 1)).alias("filled"),
-        F.count(F.when(F.col("value").isNull(), 1)).alias("gaps"),
-        F.count(F.when(F.col("value").isNull() & (F.col("date") > F.col("last")), 1)).alias("tail"),
-        F.max("last").alias("last"),
-    )
-    good = gaps.where("gaps = 0").select("asset")
-    clean = cells.join(good, "asset", "left_semi").select("date", "asset", F.col("value").alias("price"))
-    cached = known.groupBy("asset").agg(F.count("*").alias("n"))
+    spans = hold(spans)
+    own = inside.join(spans.where(~F.col("late") & ~F.col("stale")).select(*by, "asset"), [*by, "asset"], "left_semi")
+    # a row per date: its place, and how many dates there are
+    calendar = own.select(*by, "date").distinct().withColumns({"pos": F.row_number().over(one.orderBy("date")) - 1, "dates": F.count("*").over(one)})
+    calendar = hold(calendar)
+    w = Window.partitionBy(*by, "asset").orderBy("pos")
+    missing = F.coalesce(F.lead("pos").over(w), F.col("dates")) - F.col("pos") - 1
+    rows = own.join(calendar, [*by, "date"]).withColumns({"ends": F.lead("pos").over(w).isNull(), "head": F.when(F.lag("pos").over(w).isNull(), F.col("pos")).otherwise(0), "missing": missing})
+    rows = hold(rows.withColumn("fill", F.least(F.col("missing"), F.lit(limit)).cast("int")))
+    left = F.col("missing") - F.col("fill")
+    gaps = rows.groupBy(*by, "asset").agg(F.sum("fill").alias("filled"), F.sum(left + F.col("head")).alias("gaps"), F.sum(F.when(F.col("ends"), left).otherwise(0)).alias("tail"))
+    good = gaps.where("gaps = 0").select(*by, "asset")
+    filled = rows.join(good, [*by, "asset"], "left_semi").select(*by, "asset", "price", F.explode(F.sequence("pos", F.col("pos") + F.col("fill"))).alias("pos"))
+    placed = filled.join(calendar.drop("dates"), [*by, "pos"]).select(*by, "date", "asset", "price", "pos")
+    clean = placed.drop("pos")
+
+    cached = known.groupBy(*by, "asset").agg(F.count("*").alias("n"))
+    names = cached.select(*by, "asset") if requested is None else requested.select(*by, "asset").distinct()
     day = lambda c: F.date_format(_day(c), "yyyy-MM-dd")
     reason = (
         F.when(F.col("n").isNull(), F.lit("not cached"))
@@ -80,11 +90,12 @@ def align(prices: DataFrame, requested: DataFrame | None = None, limit: int = 3,
         .when((F.col("tail") > 0) & (F.col("tail") == F.col("gaps")), F.concat(F.lit("no data after "), day("last"), F.lit(" (delisting or halt); "), F.col("gaps"), F.lit(" missing sessions")))
         .when(F.col("gaps") > 0, F.concat(F.col("gaps"), F.lit(f" unfillable gaps (> {limit}d)")))
     )
-    report = names.join(cached, "asset", "left").join(spans, "asset", "left").join(gaps.drop("last"), "asset", "left").withColumn("reason", reason)
-    report = report.select("asset", F.when(F.col("reason").isNull(), "retained").otherwise("dropped").alias("status"), "reason", F.coalesce("gaps", F.lit(0)).cast("long").alias("gaps"), F.coalesce("filled", F.lit(0)).cast("long").alias("filled"))
-    dates = clean.agg(F.min("date").alias("start"), F.max("date").alias("end"), F.countDistinct("date").alias("n_obs"))
-    counts = report.agg(F.count("*").alias("requested"), F.count(F.when(F.col("status") == "retained", 1)).alias("retained"), F.sum("filled").alias("filled_values"))
-    return Panel(clean, report, counts.crossJoin(dates))
+    key = [*by, "asset"]
+    report = (cached if requested is None else names.join(cached, key, "left")).join(spans, key, "left").join(gaps, key, "left").withColumn("reason", reason)
+    report = report.select(*by, "asset", F.when(F.col("reason").isNull(), "retained").otherwise("dropped").alias("status"), "reason", F.coalesce("gaps", F.lit(0)).cast("long").alias("gaps"), F.coalesce("filled", F.lit(0)).cast("long").alias("filled"))
+    dates = clean.groupBy(*by).agg(F.min("date").alias("start"), F.max("date").alias("end"), F.countDistinct("date").alias("n_obs"))
+    counts = report.groupBy(*by).agg(F.count("*").alias("requested"), F.count(F.when(F.col("status") == "retained", 1)).alias("retained"), F.sum("filled").alias("filled_values"))
+    return Panel(clean, report, counts.join(dates, by) if by else counts.crossJoin(dates), placed)
 
 
 def log_returns(prices: DataFrame, guard: bool = True) -> DataFrame:
@@ -102,6 +113,21 @@ def returns_panel(prices: DataFrame, limit: int = 3, **how) -> DataFrame:
     return log_returns(align(prices, limit=limit, **how).prices)
 
 
+def returns_report(prices: DataFrame, limit: int = 3, **how) -> tuple[DataFrame, Panel]:
+    """(returns, panel) with the panel's summary restated on the returns: their
+    first and last date and how many there are, one less than of prices."""
+    panel = align(prices, limit=limit, **how)
+    returns = log_returns(panel.prices)
+    dates = returns.agg(F.min("date").alias("start"), F.max("date").alias("end"), F.countDistinct("date").alias("n_obs"))
+    return returns, replace(panel, summary=panel.summary.drop("start", "end", "n_obs").crossJoin(dates))
+
+
+def summary_text(panel: Panel) -> DataFrame:
+    """One row, summary: the panel in a sentence."""
+    day = lambda c: F.coalesce(F.date_format(_day(c), "yyyy-MM-dd"), F.lit("-"))
+    return panel.summary.select(F.format_string("%d of %d assets, %d rows from %s to %s, %d values filled", "retained", "requested", "n_obs", day("start"), day("end"), "filled_values").alias("summary"))
+
+
 def positions(returns: DataFrame) -> DataFrame:
     """returns with ``pos``: the date's 0-based place. The window runs over one
     row per date."""
@@ -114,14 +140,13 @@ def q_ratio(n_assets: Column, window: Column | int) -> Column:
 
 
 def coverage_frontier(prices: DataFrame, starts: list[str], limit: int = 3) -> DataFrame:
-    """start, n_assets, n_obs (price rows), q_at_252 for each candidate start."""
-    out = None
-    for s in starts:
-        p = align(prices, limit=limit, start=s).prices.agg(F.countDistinct("asset").alias("n_assets"), F.countDistinct("date").alias("n_obs"))
-        q = F.when(F.col("n_obs") > 0, F.round(q_ratio(F.col("n_assets"), 252), 3))
-        row = p.select(F.lit(s).alias("start"), "n_assets", "n_obs", q.alias("q_at_252"))
-        out = row if out is None else out.union(row)
-    return out
+    """start, n_assets, n_obs (price rows), q_at_252 for each candidate start:
+    one aligned panel keyed by start. A start without any panel has zeros."""
+    keys = prices.sparkSession.createDataFrame([(s,) for s in dict.fromkeys(starts)], "start string")
+    keyed = prices.select("date", "asset", "price").join(F.broadcast(keys), F.col("date") >= F.col("start").cast("date"))
+    found = align(keyed, limit=limit, by=["start"]).prices.groupBy("start").agg(F.countDistinct("asset").alias("n_assets"), F.countDistinct("date").alias("n_obs"))
+    rows = keys.join(found, "start", "left").select("start", F.coalesce("n_assets", F.lit(0)).alias("n_assets"), F.coalesce("n_obs", F.lit(0)).alias("n_obs"))
+    return rows.withColumn("q_at_252", F.when(F.col("n_obs") > 0, F.round(q_ratio(F.col("n_assets"), 252), 3)))
 
 
 def split(returns: DataFrame, fraction: float = 0.7) -> tuple[DataFrame, DataFrame]:

@@ -1,0 +1,25 @@
+"""Tables that several branches of one plan read, kept in memory meanwhile.
+
+Lost executors cost a recomputation, nothing else. Whoever starts the next query
+releases what the last one held; a result that is read later is computed anew.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+_held: list[DataFrame] = []
+
+
+def hold(df: DataFrame) -> DataFrame:
+    """df, persisted until ``release`` (memory first, then disk)."""
+    _held.append(df.persist())
+    return df
+
+
+def release() -> int:
+    """Unpersists all that is held; returns how many tables."""
+    n = len(_held)
+    while _held:
+        _held.pop().unpersist()
+    return n

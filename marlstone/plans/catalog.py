@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import figures
 from ..operators import alignment, backtest, rolling, structure
+from ..operators.held import hold, release
 from ..sources import panels, store, universes
 from . import dense_sql, experiments
 
@@ -44,7 +45,11 @@ def rounded(df: DataFrame) -> DataFrame:
 
 def query(name: str, sql: str | None = None):
     def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: rounded(f(spark, sf_dir))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            release()  # what the query before held
+            return rounded(f(spark, sf_dir))
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return f
@@ -57,9 +62,9 @@ def prices(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
 
 
 def returns(spark: SparkSession, sf_dir: str, key: str, limit: int = 3) -> DataFrame:
-    """The aligned returns, cached: a row per date and asset, which most
-    queries read more than once."""
-    return alignment.returns_panel(prices(spark, sf_dir, key).drop("grp"), limit=limit).cache()
+    """The aligned returns, held: a row per date and asset, which most queries
+    read more than once."""
+    return hold(alignment.returns_panel(prices(spark, sf_dir, key).drop("grp"), limit=limit))
 
 
 def groups(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
@@ -312,12 +317,18 @@ def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rolling.hopping(returns(spark, sf_dir, "PN-S"), WINDOW, STEP)
 
 
+def _sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sample correlations of every window from vectors of dates: no row goes to
+    each of its windows, and no pairs of a window's rows are joined."""
+    return rolling.rolling_matrices(returns(spark, sf_dir, "PN-S"), WINDOW, STEP, "sample", keep_matrix=False)
+
+
 query("hopping_windows", f"{_rolled} select window_id::int as window_id, strftime(min(date), '%Y-%m-%d') as window_start, strftime(max(date), '%Y-%m-%d') as window_end, count(*) as n, count(distinct date) as n_obs from wr group by 1")(
     lambda s, d: _windows(s, d).groupBy("window_id", "window_start", "window_end").agg(F.count("*").alias("n"), F.countDistinct("date").alias("n_obs")))
 _wpairs = "pr as (select a.window_id, a.asset as i, b.asset as j, corr(a.ret, b.ret) as rho from wr a join wr b on a.window_id = b.window_id and a.date = b.date and a.asset < b.asset group by all),\ndd as (select window_id, i, j, sqrt(2 * (1 - rho)) as d from pr)"
 query("rolling_coupling", f"{_rolled}, {_wpairs}, n as (select count(distinct asset)::double as n from rt) select window_id::int as window_id, {r('avg(rho)', 'mean_correlation')}, {r('max(n) * max(n) / (max(n) + 2 * sum(rho * rho))', 'effective_dimension')} from pr cross join n group by 1")(
-    lambda s, d: structure.coupling(structure.sample_correlation(_windows(s, d), ["window_id"]), ["window_id"]))
-_wedges = lambda s, d: structure.mst(structure.distances(structure.sample_correlation(_windows(s, d), ["window_id"])), ["window_id"])
+    lambda s, d: _sampled(s, d).select("window_id", "mean_correlation", "effective_dimension"))
+_wedges = lambda s, d: _sampled(s, d).select("window_id", F.inline("edges"))
 query("rolling_tree_length", f"{_rolled}, {_wpairs}, {tree_sql(5, 'window_id')} select window_id::int as window_id, {r('avg(d)', 'tree_length')}, count(*) as n_edges from mst group by 1")(lambda s, d: structure.tree_length(_wedges(s, d), ["window_id"]))
 query("edge_survival", f"{_rolled}, {_wpairs}, {tree_sql(5, 'window_id')}, sv as (select y.window_id, count(x.i) / count(*)::double as s from mst p join (select distinct window_id from mst) y on y.window_id = p.window_id + 1 left join mst x on x.window_id = y.window_id and x.i = p.i and x.j = p.j group by 1) select w.window_id::int as window_id, {r('s', 'edge_survival')} from (select distinct window_id from mst) w left join sv using (window_id)")(
     lambda s, d: structure.edge_survival(_wedges(s, d), "window_id"))
