@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .functions.kernels import ESTIMATORS
 from .operators import alignment, rolling
 from .sources import store, universes, vendor
+from .sources.shared import cut
 
 #: First day that is fetched by default, by asset class.
 STARTS = {"equity": "2000-01-01", "crypto": "2018-01-01"}
@@ -75,7 +76,7 @@ def cmd_coverage(spark: SparkSession, a: argparse.Namespace) -> int:
 def _tables(spark: SparkSession, a: argparse.Namespace) -> tuple[dict, alignment.Panel, universes.Universe, DataFrame]:
     u = universes.get(a.universe)
     p = panel(spark, u, a.start, a.end)
-    r = alignment.log_returns(p.prices).cache()
+    r = cut(alignment.log_returns(p.prices), "returns")
     groups = u.table(spark).select("asset", "grp")
     return {**rolling.windows_table(r, groups, a.window, a.step, a.estimator), "returns": r}, p, u, groups
 

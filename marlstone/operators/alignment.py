@@ -12,7 +12,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .held import hold
+from ..sources.shared import cut
 
 #: Days by which a history may begin after, or end before, the panel's.
 TOLERANCE_DAYS = 7
@@ -52,7 +52,7 @@ def align(prices: DataFrame, requested: DataFrame | None = None, limit: int = 3,
     of the asset's next row say what is missing between them, and only rows
     that are filled are added. The prices are read once.
     """
-    known = hold(prices.where(F.col("price").isNotNull()).select(*by, "date", "asset", "price"))
+    known = cut(prices.where(F.col("price").isNotNull()).select(*by, "date", "asset", "price"), "prices")
     inside = known
     if start is not None:
         inside = inside.where(F.col("date") >= F.lit(start).cast("date"))
@@ -63,20 +63,18 @@ def align(prices: DataFrame, requested: DataFrame | None = None, limit: int = 3,
     one = Window.partitionBy(*(by or [F.lit(1)]))
     spans = spans.withColumn("p0", F.min("first").over(one)).withColumn("late", F.datediff(_day("first"), _day("p0")) > tolerance)
     spans = spans.withColumn("p1", F.max(F.when(~F.col("late"), F.col("last"))).over(one)).withColumn("stale", ~F.col("late") & (F.datediff(_day("p1"), _day("last")) > tolerance))
-    spans = hold(spans)
     own = inside.join(spans.where(~F.col("late") & ~F.col("stale")).select(*by, "asset"), [*by, "asset"], "left_semi")
     # a row per date: its place, and how many dates there are
     calendar = own.select(*by, "date").distinct().withColumns({"pos": F.row_number().over(one.orderBy("date")) - 1, "dates": F.count("*").over(one)})
-    calendar = hold(calendar)
     w = Window.partitionBy(*by, "asset").orderBy("pos")
     missing = F.coalesce(F.lead("pos").over(w), F.col("dates")) - F.col("pos") - 1
     rows = own.join(calendar, [*by, "date"]).withColumns({"ends": F.lead("pos").over(w).isNull(), "head": F.when(F.lag("pos").over(w).isNull(), F.col("pos")).otherwise(0), "missing": missing})
-    rows = hold(rows.withColumn("fill", F.least(F.col("missing"), F.lit(limit)).cast("int")))
+    rows = cut(rows.withColumn("fill", F.least(F.col("missing"), F.lit(limit)).cast("int")), "placed")
     left = F.col("missing") - F.col("fill")
     gaps = rows.groupBy(*by, "asset").agg(F.sum("fill").alias("filled"), F.sum(left + F.col("head")).alias("gaps"), F.sum(F.when(F.col("ends"), left).otherwise(0)).alias("tail"))
     good = gaps.where("gaps = 0").select(*by, "asset")
     filled = rows.join(good, [*by, "asset"], "left_semi").select(*by, "asset", "price", F.explode(F.sequence("pos", F.col("pos") + F.col("fill"))).alias("pos"))
-    placed = filled.join(calendar.drop("dates"), [*by, "pos"]).select(*by, "date", "asset", "price", "pos")
+    placed = filled.join(rows.select(*by, "pos", "date").distinct(), [*by, "pos"]).select(*by, "date", "asset", "price", "pos")
     clean = placed.drop("pos")
 
     cached = known.groupBy(*by, "asset").agg(F.count("*").alias("n"))

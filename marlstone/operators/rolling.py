@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
+from ..sources.shared import cut
 from . import structure
 from .alignment import positions
-from .held import hold
 
 
 def hopping(returns: DataFrame, window: int = 252, step: int = 5) -> DataFrame:
@@ -58,9 +58,9 @@ def rolling_matrices(returns: DataFrame, window: int = 252, step: int = 5, estim
 
 
 def windows_table(returns: DataFrame, groups: DataFrame, window: int = 252, step: int = 5, estimator: str = "rmt_clipped") -> dict[str, DataFrame]:
-    """windows, edges and layouts of every window. The matrix stage is held: it
+    """windows, edges and layouts of every window. The matrix stage is cut: it
     has one row per window, and every table comes from it."""
-    m = hold(rolling_matrices(returns, window, step, estimator, keep_matrix=False))
+    m = cut(rolling_matrices(returns, window, step, estimator, keep_matrix=False), "matrices")
     edges = m.select("window_id", "window_end", F.inline("edges"))
     return {"matrices": m, "edges": edges, "windows": summarise(m, groups), "layouts": layouts(edges)}
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from .held import hold
+from ..sources.shared import cut
 
 INDEPENDENT_DISTANCE = math.sqrt(2.0)
 EPS = float(np.finfo(float).eps)
@@ -151,12 +151,12 @@ def mst(dist: DataFrame, by: list[str] = []) -> DataFrame:
 def minimax(dist: DataFrame, rounds: int, by: list[str] = []) -> DataFrame:
     """by, i, j, distance: over all paths the smallest largest step, by squaring
     the (min, max) matrix ``rounds`` times (paths of up to 2**rounds steps)."""
-    m = hold(both_ways(hold(dist.select(*by, "i", "j", "distance"))))
+    m = both_ways(cut(dist.select(*by, "i", "j", "distance"), "distances"))
     for _ in range(rounds):
         a = m.withColumnsRenamed({"j": "k", "distance": "a"})
         b = m.withColumnsRenamed({"i": "k", "distance": "b"})
         over = a.join(b, [*by, "k"]).where("i <> j").select(*by, "i", "j", F.greatest("a", "b").alias("distance"))
-        m = hold(m.union(over).groupBy(*by, "i", "j").agg(F.min("distance").alias("distance")))  # read three times by the next round
+        m = cut(m.union(over).groupBy(*by, "i", "j").agg(F.min("distance").alias("distance")), "minimax")  # read three times by the next round
     return m.where("i < j")
 
 
@@ -164,7 +164,7 @@ def mst_relational(dist: DataFrame, n_assets: int, by: list[str] = []) -> DataFr
     """The same tree without Python: an edge is in it if no path of shorter
     edges joins its ends. For few assets; distances must differ."""
     rounds = max(1, math.ceil(math.log2(max(2, n_assets - 1))))
-    dist = hold(dist)
+    dist = cut(dist, "distances")
     m = minimax(dist, rounds, by).withColumnRenamed("distance", "bottleneck")
     return dist.join(m, [*by, "i", "j"]).where(F.col("distance") <= F.col("bottleneck")).select(*by, F.col("i").alias("source"), F.col("j").alias("target"), "distance")
 

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import figures
 from ..operators import alignment, backtest, rolling, structure
-from ..operators.held import hold, release
 from ..sources import panels, store, universes
+from ..sources.shared import cut
 from . import dense_sql, experiments
 
 PLACES = 7
@@ -45,11 +45,7 @@ def rounded(df: DataFrame) -> DataFrame:
 
 def query(name: str, sql: str | None = None):
     def add(f: Callable[[SparkSession, str], DataFrame]):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            release()  # what the query before held
-            return rounded(f(spark, sf_dir))
-
-        QUERIES[name] = run
+        QUERIES[name] = lambda spark, sf_dir: rounded(f(spark, sf_dir))
         if sql is not None:
             ORACLES[name] = sql
         return f
@@ -62,9 +58,9 @@ def prices(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
 
 
 def returns(spark: SparkSession, sf_dir: str, key: str, limit: int = 3) -> DataFrame:
-    """The aligned returns, held: a row per date and asset, which most queries
+    """The aligned returns, cut: a row per date and asset, which most queries
     read more than once."""
-    return hold(alignment.returns_panel(prices(spark, sf_dir, key).drop("grp"), limit=limit))
+    return cut(alignment.returns_panel(prices(spark, sf_dir, key).drop("grp"), limit=limit), "returns")
 
 
 def groups(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:

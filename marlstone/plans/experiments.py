@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import alignment, backtest
-from ..operators.held import hold
+from ..sources.shared import cut
 
 COSTS = (10, 25, 50)
 PRIMARY = 25
@@ -46,14 +46,14 @@ def cells(returns: DataFrame, universe: str, grid: tuple[Cell, ...], single: str
     cost, ratios at every cost, breakeven, benchmarks and the tests passed. A
     cell whose lookback the history doesn't fill has no row (momentum alone).
     """
-    returns = hold(returns.select("date", "asset", "ret"))
+    returns = cut(returns.select("date", "asset", "ret"), "returns")
     size = returns.agg(F.countDistinct("asset").alias("n_assets"), F.countDistinct("date").alias("n_dates")).first()
     grid = tuple(c for c in grid if c.kind != "momentum" or size["n_dates"] >= c.length + 21)
     if not grid or not size["n_assets"]:
         return returns.sparkSession.createDataFrame([], "universe string, variant string")
     w = reduce(DataFrame.unionByName, (weights(returns, c).withColumn("variant", F.lit(c.name)) for c in grid))
     keyed = returns.crossJoin(F.broadcast(returns.sparkSession.createDataFrame([(c.name,) for c in grid], "variant string")))
-    days = hold(backtest.daily(keyed, w, ["variant"]))
+    days = cut(backtest.daily(keyed, w, ["variant"]), "days")
     stats = backtest.stats(backtest.path(days, PRIMARY, ["variant"]), ["variant"])
     costs = backtest.cost_sharpes(days, COSTS, ["variant"])
     bench = backtest.stats(backtest.run(returns, backtest.equal_weights(returns), PRIMARY)).select(F.col("sharpe").alias("equal_weight_sharpe"))
