@@ -10,6 +10,8 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import __version__
+from .functions import kernels
 from .functions.kernels import ESTIMATORS
 from .operators import alignment, rolling
 from .sources import store, universes, vendor
@@ -58,6 +60,7 @@ def cmd_status(spark: SparkSession, a: argparse.Namespace) -> int:
 def cmd_panel(spark: SparkSession, a: argparse.Namespace) -> int:
     p = panel(spark, universes.get(a.universe), a.start, a.end)
     p.report.orderBy("asset").show(1000, truncate=False)
+    alignment.summary_text(p).show(truncate=False)
     p.summary.show(truncate=False)
     n = p.summary.select("retained", F.explode(F.array(F.lit(90), F.lit(252), F.lit(504))).alias("window"))
     q = alignment.q_ratio(F.col("retained"), F.col("window"))
@@ -75,7 +78,7 @@ def cmd_coverage(spark: SparkSession, a: argparse.Namespace) -> int:
 
 def _tables(spark: SparkSession, a: argparse.Namespace) -> tuple[dict, alignment.Panel, universes.Universe, DataFrame]:
     u = universes.get(a.universe)
-    p = panel(spark, u, a.start, a.end)
+    _, p = alignment.returns_report(prices(spark, u), u.limit, requested=u.table(spark).select("asset"), start=a.start, end=a.end)
     r = cut(alignment.log_returns(p.prices), "returns")
     groups = u.table(spark).select("asset", "grp")
     return {**rolling.windows_table(r, groups, a.window, a.step, a.estimator), "returns": r}, p, u, groups
@@ -89,10 +92,12 @@ def cmd_diagnose(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def cmd_build(spark: SparkSession, a: argparse.Namespace) -> int:
-    t, p, u, _ = _tables(spark, a)
+    t, p, u, groups = _tables(spark, a)
     windows = t["windows"].join(rolling.layout_drift(t["layouts"]), "window_end", "left")
     out = store.Artifact(spark, f"{root()}/artifacts", u.key, a.estimator, a.window, a.step)
-    meta = p.summary.select("*", F.lit(u.key).alias("universe"), F.lit(a.estimator).alias("estimator"), F.lit(a.window).alias("window"), F.lit(a.step).alias("step"), F.lit(u.group_label).alias("group_label"), F.lit(u.caveats).alias("caveats"), F.current_timestamp().alias("built_at"))
+    spec = {"universe": u.key, "start": a.start, "end": a.end, "window": a.window, "step": a.step, "estimator": a.estimator}
+    n = t["returns"].agg(F.countDistinct("asset")).first()[0]
+    meta = store.artifact_meta(p, t["returns"], windows, groups, spec, __version__, u.group_label, u.caveats, kernels.n_components(n))
     out.save({"windows": windows, "edges": t["edges"], "layouts": t["layouts"], "returns": t["returns"]}, meta)
     w = out.load()["windows"]
     w.agg(F.count("*").alias("windows"), F.min("absorption_ratio"), F.max("absorption_ratio"), F.max_by("window_end", "absorption_ratio").alias("peak"), F.percentile("edge_survival", F.lit(0.5)).alias("median_survival")).show(truncate=False)

@@ -144,6 +144,13 @@ def stats(curve: DataFrame, by: list[str] = []) -> DataFrame:
     )
 
 
+def summary_text(found: DataFrame, by: list[str] = []) -> DataFrame:
+    """by, summary: a row of ``stats`` in a line; unknown figures as null."""
+    percent = lambda c: F.col(c) * 100
+    line = "Sharpe %+.3f  CAGR %+.2f%%  volatility %.2f%%  drawdown %.2f%%  turnover %.1fx a year  exposure %.0f%%"
+    return found.select(*by, F.format_string(line, "sharpe", percent("cagr"), percent("vol"), percent("max_drawdown"), "turnover_per_year", percent("average_exposure")).alias("summary"))
+
+
 def cost_sharpes(days: DataFrame, costs: tuple[int, ...] = (10, 25, 50), by: list[str] = []) -> DataFrame:
     """by, sharpe_by_cost (map), breakeven_bps. Net return is linear in cost, so
     five moments of (gross, turnover) give the ratio at any cost in one pass,

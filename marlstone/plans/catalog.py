@@ -12,10 +12,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import figures
+from ..functions import figures, kernels
 from ..operators import alignment, backtest, rolling, structure
 from ..sources import panels, store, universes
-from ..sources.shared import cut
+from ..sources.shared import cut, new_path
 from . import dense_sql, experiments
 
 PLACES = 7
@@ -132,10 +132,12 @@ dy as (select date, sum(held * ret) as gross, sum(abs(target - held)) as turnove
 CURVE = """nt as (select *, gross - turnover * 0.0025 as net from dy),
 eq as (select *, product(1 + net) over (order by date rows between unbounded preceding and current row) as equity from nt),
 cv as (select *, equity / max(equity) over (order by date rows between unbounded preceding and current row) - 1 as drawdown from eq)"""
-STATS = f"""with_ppy as (select *, case when n < 2 or dd_ <= 0 then 252.0 else n / (dd_ / 365.25) end as ppy from (
-  select avg(net) as m, stddev_samp(net) as s, count(*)::double as n, max(date)::date - min(date)::date as dd_, arg_max(equity, date) as e, min(drawdown) as mdd, avg(turnover) as t, avg(exposure) as x from cv))
-select {r("m / s * sqrt(ppy)", "sharpe")}, {r("m / s * sqrt(ppy) * sqrt(n / ppy)", "t_statistic")}, {r("case when e >= 0 then pow(e, ppy / n) - 1 end", "cagr")}, {r("s * sqrt(ppy)", "vol")},
+PPY = """with_ppy as (select *, case when n < 2 or dd_ <= 0 then 252.0 else n / (dd_ / 365.25) end as ppy from (
+  select avg(net) as m, stddev_samp(net) as s, count(*)::double as n, max(date)::date - min(date)::date as dd_, arg_max(equity, date) as e, min(drawdown) as mdd, avg(turnover) as t, avg(exposure) as x from cv))"""
+FIGURES = f"""select {r("m / s * sqrt(ppy)", "sharpe")}, {r("m / s * sqrt(ppy) * sqrt(n / ppy)", "t_statistic")}, {r("case when e >= 0 then pow(e, ppy / n) - 1 end", "cagr")}, {r("s * sqrt(ppy)", "vol")},
   {r("mdd", "max_drawdown")}, {r("t * ppy", "turnover_per_year")}, {r("x", "average_exposure")}, n::bigint as n_obs, {r("ppy", "periods_per_year")} from with_ppy"""
+STATS = f"{PPY}\n{FIGURES}"
+STATS_TABLE = f"{PPY},\nsx as ({FIGURES})"
 
 
 # -- panels ------------------------------------------------------------------
@@ -215,10 +217,19 @@ _dist = f"with {aligned_sql('PN-S')}, {PAIRS}"
 query("distances", f"{_dist} select i, j, {r('d', 'distance')} from dd")(lambda s, d: structure.distances(structure.sample_correlation(returns(s, d, "PN-S"))))
 query("nearest_neighbours", f"{_dist}, b as (select i, j, d from dd union all select j, i, d from dd) select i, j, {r('d', 'distance')}, rank::int as rank from (select *, row_number() over (partition by i order by d, j) as rank from b) where rank <= 5")(
     lambda s, d: structure.nearest(structure.distances(structure.sample_correlation(returns(s, d, "PN-S"))), 5))
-query("metric_violations", f"{_dist}, b as (select i, j, d from dd union all select j, i, d from dd) select count(*) as n from dd join b x on x.i = dd.i join b y on y.i = x.j and y.j = dd.j where dd.d > x.d + y.d + 1e-9")(
-    lambda s, d: structure.metric_violations(structure.distances(structure.sample_correlation(returns(s, d, "PN-S")))).agg(F.count("*").alias("n")))
-query("constant_assets", f"with {aligned_sql('PN-S')} select asset from rt group by asset having coalesce(stddev_samp(ret), 0) <= 100 * 2.220446049250313e-16 * greatest(max(abs(ret)), 1.0)")(
-    lambda s, d: structure.constant_assets(returns(s, d, "PN-S")))
+# three planted distances break the triangle rule, and two planted assets don't vary
+query("metric_violations", f"{_dist}, dp as (select i, j, d from dd union all values ('X', 'Y', 1.9::double), ('X', 'Z', 0.5::double), ('Y', 'Z', 0.6::double)), b as (select i, j, d from dp union all select j, i, d from dp) select dp.i, dp.j, x.j as k from dp join b x on x.i = dp.i join b y on y.i = x.j and y.j = dp.j where dp.d > x.d + y.d + 1e-9")(
+    lambda s, d: structure.metric_violations(structure.distances(structure.sample_correlation(returns(s, d, "PN-S"))).unionByName(s.createDataFrame([("X", "Y", 1.9), ("X", "Z", 0.5), ("Y", "Z", 0.6)], "i string, j string, distance double"))))
+query("constant_assets", f"with {aligned_sql('PN-S')}, rp as (select date, asset, ret from rt union all select distinct date, 'FLAT', 0.25 from rt union all select max(date), 'ONCE', 0.1 from rt) select asset from rp group by asset having coalesce(stddev_samp(ret), 0) <= 100 * 2.220446049250313e-16 * greatest(max(abs(ret)), 1.0)")(
+    lambda s, d: structure.constant_assets(_flattened(returns(s, d, "PN-S"))))
+
+
+def _flattened(rt: DataFrame) -> DataFrame:
+    flat = rt.select("date").distinct().select("date", F.lit("FLAT").alias("asset"), F.lit(0.25).alias("ret"))
+    once = rt.agg(F.max("date").alias("date")).select("date", F.lit("ONCE").alias("asset"), F.lit(0.1).alias("ret"))
+    return rt.select("date", "asset", "ret").unionByName(flat).unionByName(once)
+
+
 _cov = f"with {aligned_sql('PN-S')}, {PAIRS}, sd as (select asset, stddev_samp(ret) as s from rt group by asset), cv as (select i, j, rho * x.s * y.s as cov from pr join sd x on x.asset = i join sd y on y.asset = j union all select asset, asset, s * s from sd)"
 query("covariance", f"{_cov} select i, j, round(cov, {PLACES}) + 0.0 as cov from cv")(lambda s, d: structure.covariance(structure.sample_correlation(returns(s, d, "PN-S")), returns(s, d, "PN-S")))
 _ivp = "iw as (select asset, (1 / v) / sum(1 / v) over () as w from (select asset, var_samp(ret) as v from rt group by asset))"
@@ -300,8 +311,8 @@ ASOF = "1997-12-31"
 _asof = f"""with recursive {aligned_sql('PN-S')}, wd as (select date from (select distinct date from rt) where date <= date '{ASOF}' order by date desc limit {WINDOW}), wr as (select 0 as window_id, date, asset, ret from rt join wd using (date)), {estimated_sql('rmt_clipped')}"""
 query("clustering_asof", f"{_asof},\n{LINKS}\nselect {r('cophenetic', 'cophenetic')}, {r('depth_ratio', 'depth_ratio')}, array_to_string(list_transform(leaf_order, lambda i: names[i + 1]), ',') as leaf_order from co join (select window_id, names from cm) using (window_id)")(
     lambda s, d: rolling.clustering(returns(s, d, "PN-S"), ASOF, WINDOW).select("cophenetic", "depth_ratio", F.array_join("leaf_order", ",").alias("leaf_order")))
-query("marchenko_pastur", "select q, s2, round(s2 * pow(1 + sqrt(q), 2), 7) + 0.0 as edge from (values (0.0, 1.0), (0.25, 1.0), (1.0, 1.0), (0.25, 2.0)) t(q, s2)".replace("select q, s2,", "select q::double as q, s2::double as s2,"))(
-    lambda s, d: s.createDataFrame([(0.0, 1.0), (0.25, 1.0), (1.0, 1.0), (0.25, 2.0)], "q double, s2 double").withColumn("edge", F.col("s2") * F.pow(1 + F.sqrt("q"), F.lit(2.0))))
+query("marchenko_pastur", "select q::double as q, s2::double as s2, round(s2 * pow(1 + sqrt(q), 2), 7) + 0.0 as edge from (values (0.0, 1.0), (0.25, 1.0), (1.0, 1.0), (0.25, 2.0)) t(q, s2)")(
+    lambda s, d: s.createDataFrame([(0.0, 1.0), (0.25, 1.0), (1.0, 1.0), (0.25, 2.0)], "q double, s2 double").mapInPandas(lambda parts: (x.assign(edge=[float(kernels.marchenko_pastur_edge(q, v)) for q, v in zip(x["q"], x["s2"])]) for x in parts), "q double, s2 double, edge double"))
 
 
 # -- rolling -----------------------------------------------------------------
@@ -360,6 +371,30 @@ _INDICES = ("q", "mean_correlation", "absorption_ratio", "pc1_share", "effective
 for _e, _name in (("rmt_clipped", "rolling_windows"), ("sample", "rolling_windows_sample"), ("ledoit_wolf", "rolling_windows_ledoit_wolf")):
     query(_name, f"{built_sql(_e)}\nselect window_end, window_start, n::int as n_assets, t::int as n_obs, hub, {', '.join(r(c, c) for c in _INDICES)}, {info_sql(_e)[1]} from wide")(lambda s, d, e=_e: _built(s, d, e)["windows"])
 query("rolling_edges", f"{built_sql('rmt_clipped')}\nselect window_end, i as source, j as target, {r('length', 'distance')} from mst join ob using (window_id)")(lambda s, d: _built(s, d, "rmt_clipped")["edges"].drop("window_id"))
+_LAST = f"with recursive {aligned_sql('PN-S')}, wd as (select date from (select distinct date from rt) order by date desc limit {WINDOW}), wr as (select 0 as window_id, date, asset, ret from rt join wd using (date)), {estimated_sql('rmt_clipped')}"
+query("correlation_at", f"{_LAST}\nselect i, j, {r('rho', 'rho')} from fc")(lambda s, d: _at_end(s, d))
+query("window_frames", f"""{built_sql('rmt_clipped')}, fr as (select window_end, absorption_ratio, row_number() over (order by window_end) - 1 as k from wide where window_end between '1997-01-01' and '2001-12-31')
+select window_end, (k // 2)::int as frame, row_number() over (order by absorption_ratio desc, window_end) = 1 as peak from fr where k % 2 = 0""")(lambda s, d: figures.frames(_built(s, d, "rmt_clipped")["windows"], "1997-01-01", "2001-12-31"))
+query("window_ends", f"{built_sql('sample')}\nselect distinct window_end from wide")(lambda s, d: figures.window_ends(_built(s, d, "sample")["windows"]))
+query("edges_at", f"{built_sql('sample')}\nselect i as source, j as target, {r('length', 'distance')} from mst where window_id = (select max(window_id) from mst)")(lambda s, d: _last_edges(s, d))
+query("index_series", f"""{built_sql('sample')}, ev as (select date '1997-03-01' + (300 * k)::int as date, 'event ' || k as label from range(4) t(k)), si as (select window_end, absorption_ratio, mean_correlation, lag(window_end) over (order by window_end) as since from wide)
+select window_end, {r('any_value(absorption_ratio)', 'absorption_ratio')}, {r('any_value(mean_correlation)', 'mean_correlation')}, coalesce(string_agg(label, ',' order by label), '') as labels from si left join ev on strftime(ev.date, '%Y-%m-%d') <= window_end and (since is null or strftime(ev.date, '%Y-%m-%d') > since) group by 1""")(
+    lambda s, d: figures.index_series(_built(s, d, "sample")["windows"], s.range(4).select(F.date_add(F.lit("1997-03-01").cast("date"), (F.col("id") * 300).cast("int")).alias("date"), F.concat(F.lit("event "), F.col("id")).alias("label"))).withColumn("labels", F.array_join("labels", ",")))
+
+
+def _at_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rt = returns(spark, sf_dir, "PN-S")
+    end = rt.agg(F.max("date")).first()[0]
+    m = rolling.correlation_at(rt, str(end), WINDOW).select("assets", F.posexplode("matrix").alias("i", "line"))
+    m = m.select("assets", "i", F.posexplode("line").alias("j", "rho")).where("i < j")
+    return m.select(F.col("assets")[F.col("i")].alias("i"), F.col("assets")[F.col("j")].alias("j"), "rho")
+
+
+def _last_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _built(spark, sf_dir, "sample")
+    return figures.at_window(t["edges"].drop("window_id"), str(t["windows"].agg(F.max("window_end")).first()[0]))
+
+
 query("rolling_layout_drift")(lambda s, d: rolling.layout_drift(_built(s, d, "rmt_clipped")["layouts"]))
 STABILITY = """n2 as (select x.window_id, x.cluster as a, y.cluster as b, count(*)::double as n from fl x join fl y on y.window_id = x.window_id - 1 and y.asset = x.asset group by all),
 ij as (select window_id, sum(n * (n - 1) / 2) as ij, sum(n) as t from n2 group by 1), si as (select window_id, sum(m * (m - 1) / 2) as si from (select window_id, sum(n) as m from n2 group by window_id, a) group by 1),
@@ -432,6 +467,15 @@ select {day()}, asset, case when pos >= {LOOKBACK - 1} and (pos - {LOOKBACK - 1}
     )(lambda s, d, ls=_ls: backtest.low_volatility_weights(_rt(s, d), LOOKBACK, 0.2, ls))
 query("backtest_path", f"{_f}, {MOMENTUM}, {DAILY}, {CURVE} select {day()}, {', '.join(r(c, c) for c in ('gross', 'turnover', 'exposure', 'net', 'equity', 'drawdown'))} from cv")(lambda s, d: backtest.run(*_momentum(s, d)))
 query("backtest_stats", f"{_f}, {MOMENTUM}, {DAILY}, {CURVE}, {STATS}")(lambda s, d: backtest.stats(backtest.run(*_momentum(s, d))))
+query(
+    "backtest_summary",
+    f"""{_f}, {MOMENTUM}, {DAILY}, {CURVE}, {STATS_TABLE} select printf('Sharpe %+.3f  CAGR %+.2f%%  volatility %.2f%%  drawdown %.2f%%  turnover %.1fx a year  exposure %.0f%%', sharpe, cagr * 100, vol * 100, max_drawdown * 100, turnover_per_year, average_exposure * 100) as summary from sx""",
+)(lambda s, d: backtest.summary_text(backtest.stats(backtest.run(*_momentum(s, d)))))
+query("panel_text", f"""with {aligned_sql('PN-S')}, rp as ({REPORT}) select format('{{}} of {{}} assets, {{}} rows from {{}} to {{}}, {{}} values filled', count(*) filter (status = 'retained'), count(*), (select count(distinct date) from px), (select strftime(min(date), '%Y-%m-%d') from px), (select strftime(max(date), '%Y-%m-%d') from px), sum(filled)::bigint) as summary from rp""")(
+    lambda s, d: alignment.summary_text(alignment.align(prices(s, d, "PN-S"))))
+query("returns_summary", f"""with {aligned_sql('PN-S')}, rp as ({REPORT})
+select count(*) as requested, count(*) filter (status = 'retained') as retained, sum(filled)::bigint as filled_values, (select strftime(min(date), '%Y-%m-%d') from rt) as start, (select strftime(max(date), '%Y-%m-%d') from rt) as "end", (select count(distinct date) from rt) as n_obs from rp""")(
+    lambda s, d: alignment.returns_report(prices(s, d, "PN-S"))[1].summary)
 _equal = f"ps as (select date, row_number() over (order by date) - 1 as pos from (select distinct date from rt)), na as (select count(distinct asset) as n from rt), wt as (select rt.date, asset, case when pos % {EVERY} = 0 then 1.0 / n end as weight from rt join ps using (date) cross join na)"
 query("equal_weight_stats", f"{_f}, {_equal}, {DAILY}, {CURVE}, {STATS}")(lambda s, d: backtest.stats(backtest.run(_rt(s, d), backtest.equal_weights(_rt(s, d)))))
 query("single_asset_stats", f"{_f}, wt as (select date, asset, case when asset = 'A' then 1.0 else 0.0 end as weight from rt), {DAILY}, {CURVE}, {STATS}")(lambda s, d: backtest.stats(backtest.run(_rt(s, d), backtest.single_asset_weights(_rt(s, d), "A"))))
@@ -462,7 +506,10 @@ def _restated(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = _bars(spark, sf_dir)
     edge = b.agg(F.date_sub(F.max("date"), 7).alias("c"))
     tail = b.crossJoin(F.broadcast(edge)).where("date >= c").drop("c").withColumn("close", F.col("close") * 2)
-    return store.merged(b, tail)
+    bars = store.Store(spark, new_path(spark, "bars"))
+    bars.write(b)
+    bars.write(tail)
+    return bars.read()
 
 
 query("store_upsert", f"{_merged_sql} select ticker, {day()}, {r('low', 'low')}, {r('high', 'high')}, {r('close', 'close')}, {r('volume', 'volume')} from m")(lambda s, d: _restated(s, d).select("ticker", "date", "low", "high", "close", "volume"))
@@ -472,8 +519,19 @@ query("store_summary", f"{_merged_sql}, q as (select distinct ticker from m unio
 query("fetch_starts", f"{_merged_sql}, q as (select distinct ticker from m union all select 'MISSING') select ticker, strftime(case when max(date) is null or min(date) > date '2024-01-10' then date '2024-01-10' else max(date) - 7 end, '%Y-%m-%d') as fetch_start from q left join m using (ticker) group by 1")(
     lambda s, d: store.fetch_starts(_restated(s, d).select("ticker").distinct().union(s.createDataFrame([("MISSING",)], "ticker string")), _restated(s, d), "2024-01-10"))
 query("file_stems", "select c_name as name, regexp_replace(upper(trim(c_name)), '[^A-Z0-9]+', '_', 'g') as stem from customer")(lambda s, d: panels.read(s, d, "customer").select(F.col("c_name").alias("name"), store.file_stem(F.col("c_name")).alias("stem")))
-query("universe_groups", "select universe, grp, n from (values " + ", ".join(f"('{u.key}', '{g}', {list(u.groups.values()).count(g)}::bigint)" for u in universes.UNIVERSES.values() for g in dict.fromkeys(u.groups.values())) + ") t(universe, grp, n)")(
+# fixed values: members of each group, in the order of the rosters
+MEMBERS = {
+    "core_equity": {"Information Technology": 12, "Health Care": 9, "Financials": 9, "Consumer Discretionary": 8, "Consumer Staples": 7, "Industrials": 9, "Energy": 7, "Materials": 5, "Utilities": 6, "Real Estate": 4, "Communication Services": 5},
+    "cross_asset": {"Equity": 7, "Rates": 4, "Credit": 3, "Commodities": 4, "Real assets": 1, "Currency": 1},
+    "crypto_majors": {"Store of value": 1, "Smart contract L1": 5, "Interoperability L1": 2, "Payments": 3, "DeFi": 3, "Exchange": 1, "Meme": 1},
+    "sector_etfs": {"Sector ETF": 11},
+    "crypto_core": {"Store of value": 1, "Smart contract L1": 2, "Payments": 3, "Meme": 1},
+}
+query("universe_groups", "select universe, grp, n from (values " + ", ".join(f"('{u}', '{g}', {n}::bigint)" for u, gs in MEMBERS.items() for g, n in gs.items()) + ") t(universe, grp, n)")(
     lambda s, d: reduce(DataFrame.union, (u.table(s) for u in universes.UNIVERSES.values())).groupBy("universe", "grp").agg(F.count("*").alias("n")))
+query("universe_sizes", "select * from (values ('core_equity', 81::bigint, 3), ('cross_asset', 20::bigint, 3), ('sector_etfs', 11::bigint, 3), ('crypto_majors', 16::bigint, 1), ('crypto_core', 7::bigint, 1)) t(universe, n, fill_limit)")(
+    lambda s, d: s.createDataFrame([(u.key, len(set(u.tickers)), u.limit) for u in universes.UNIVERSES.values()], "universe string, n long, fill_limit int"))
+query("chart_events", "select * from (values ('2008-09-15', 'Lehman'), ('2010-05-06', 'Flash crash'), ('2011-08-05', 'US downgrade')) t(date, label)")(lambda s, d: figures.events_between(universes.events(s), "2008-09-01", "2011-08-05"))
 
 _GRID = (experiments.Cell("60d", "momentum", 60), experiments.Cell("managed_60d", "managed", 60, 1.0), experiments.Cell("low_60d", "low_long", 60), experiments.Cell("low_60d_ls", "low_short", 60))
 

@@ -3,6 +3,7 @@ plan, so all cells of a universe run together."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -81,7 +82,12 @@ def survivors(found: DataFrame, must_beat: bool) -> DataFrame:
 
 def holdout(returns: DataFrame, universe: str, grid: tuple[Cell, ...], names: DataFrame, bar: float, single: str | None = None, fraction: float = 0.7) -> DataFrame:
     """Cells of the surviving variants on the last part, with the verdict."""
-    found = cells(alignment.split(returns, fraction)[1], universe, grid, single).join(names.select("variant").distinct(), "variant", "left_semi")
+    return judged(cells(alignment.split(returns, fraction)[1], universe, grid, single).join(names.select("variant").distinct(), "variant", "left_semi"), bar)
+
+
+def judged(found: DataFrame, bar: float) -> DataFrame:
+    """found with the verdict: survives if it beats the benchmarks with a t
+    statistic beyond the bar and a positive ratio."""
     verdict = F.col("beats_benchmarks") & F.coalesce(F.abs("t_statistic") > bar, F.lit(False)) & F.coalesce(F.col("sharpe") > 0, F.lit(False))
     return found.withColumn("verdict", F.when(verdict, "survives").otherwise("fails"))
 
@@ -105,6 +111,55 @@ def grid_of(universe: str, kind: str) -> tuple[Cell, ...]:
     return managed + (LOW if universe in LOW_UNIVERSES else ())
 
 
+# fixed values: variants that reached the holdout of each programme
+REACHED = {"momentum": {("core_equity", "6m"), ("core_equity", "12m")}, "volatility": {("core_equity", "volmanaged_21d"), ("core_equity", "volmanaged_63d"), ("core_equity", "lowvol_63d_long"), ("core_equity", "lowvol_252d_long")}}
+_UNIVERSES = {"momentum": MOMENTUM_UNIVERSES, "volatility": MANAGED_UNIVERSES}
+
+
+def explore_all(returns_of: Callable[[str, str], DataFrame | None], kind: str, only: set[tuple[str, str]] | None = None, part: str = "explore") -> DataFrame | None:
+    """The cells of every universe of a programme on one part of its history.
+
+    returns_of(universe, first day) gives its returns, or None where there are
+    none: that universe has no cells. ``only`` restricts the cells to some
+    (universe, variant). None if no universe has returns."""
+    out = None
+    for universe, (first, single) in _UNIVERSES[kind].items():
+        grid = tuple(c for c in grid_of(universe, kind) if only is None or (universe, c.name) in only)
+        rt = returns_of(universe, first) if grid else None
+        if rt is None:
+            continue
+        found = cells(alignment.split(rt)[0 if part == "explore" else 1], universe, grid, single)
+        if len(found.columns) > 2:
+            out = found if out is None else out.unionByName(found)
+    return out
+
+
+def programme_survivors(found: DataFrame, kind: str) -> DataFrame:
+    """Cells that go on: momentum by its ratio alone, volatility if it beats the
+    benchmarks too."""
+    return survivors(found, must_beat=kind == "volatility")
+
+
+def holdout_all(returns_of: Callable[[str, str], DataFrame | None], kind: str, only: set[tuple[str, str]] | None = None) -> DataFrame | None:
+    """The holdout cells of the variants that reached it, with the verdict."""
+    found = explore_all(returns_of, kind, REACHED[kind] if only is None else only, "holdout")
+    return None if found is None else judged(found, HOLDOUT_T[kind])
+
+
+def header(kind: str, part: str) -> dict:
+    """What is written beside the cells of a run."""
+    return {"programme": kind, "partition": part, "primary_cost_bps": PRIMARY, "alpha": MOMENTUM_ALPHA if kind == "momentum" else VOLATILITY_ALPHA, "bar": HOLDOUT_T[kind], "survivors_tested": sorted(map("/".join, REACHED[kind])) if part == "holdout" else []}
+
+
+def save_run(found: DataFrame, kind: str, part: str, path: str) -> None:
+    """One JSON document: the header and all cells (a row a cell: a few dozen)."""
+    h = header(kind, part)
+    one = found.agg(F.array_sort(F.collect_list(F.struct(*found.columns))).alias("cells"))
+    for k, v in h.items():
+        one = one.withColumn(k, F.array(*map(F.lit, v)).cast("array<string>") if isinstance(v, list) else F.lit(v))
+    one.select(*h, "cells").coalesce(1).write.mode("overwrite").json(path)
+
+
 def save(found: DataFrame, path: str) -> None:
     """Cells as lines of JSON in one file."""
     found.coalesce(1).write.mode("overwrite").json(path)

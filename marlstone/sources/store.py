@@ -151,6 +151,27 @@ class Artifact:
         return out
 
 
+def artifact_meta(panel, returns: DataFrame, windows: DataFrame, groups: DataFrame, spec: dict, version: str, group_label: str, caveats: str, components: int) -> DataFrame:
+    """The one row beside a build: its spec and version, the number of windows,
+    assets and groups, the panel's report with what was dropped and why."""
+    assets = returns.agg(F.array_sort(F.collect_set("asset")).alias("assets"))
+    labels = groups.join(returns.select("asset").distinct(), "asset", "left_semi").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("asset", "grp")))).alias("groups"))
+    dropped = panel.report.where("status = 'dropped'").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("asset", "reason")))).alias("dropped"))
+    report = panel.summary.crossJoin(dropped).select(F.struct("requested", "retained", "dropped", F.col("start").cast("string").alias("start"), F.col("end").cast("string").alias("end"), "n_obs", F.col("filled_values").alias("forward_filled")).alias("panel"))
+    one = windows.agg(F.count("*").alias("n_windows")).crossJoin(assets).crossJoin(labels).crossJoin(report)
+    return one.select(F.struct(*(F.lit(v).alias(k) for k, v in spec.items())).alias("spec"), F.lit(version).alias("version"), F.current_timestamp().alias("built_at"), "n_windows", "assets", F.lit(group_label).alias("group_label"), "groups", F.lit(components).alias("absorption_components"), "panel", F.lit(caveats).alias("caveats"))
+
+
+def artifacts(spark: SparkSession, root: str) -> list[dict[str, str]]:
+    """Spec and name of each artifact under ``root`` that has windows, by name."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    names = sorted(f.getPath().getName() for f in fs.listStatus(path) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "windows")))
+    return [{"name": n, **spec} for n in names if (spec := spec_of(n))]
+
+
 def spec_of(name: str) -> dict[str, str] | None:
     """universe, estimator, window and step of an artifact's name."""
     m = re.fullmatch(r"(?P<universe>.+)_(?P<estimator>sample|ledoit_wolf|rmt_clipped)_w(?P<window>\d+)_s(?P<step>\d+)", name)

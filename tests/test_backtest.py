@@ -110,3 +110,32 @@ def test_grids(data, tmp_path):
     experiments.save(found, f"{tmp_path}/cells")
     assert data[1].sparkSession.read.json(f"{tmp_path}/cells").first()["variant"] == "60d"
     assert experiments.survivors(found, True).count() <= experiments.survivors(found, False).count() <= 1
+
+
+def test_programmes(data, tmp_path):
+    """All universes of a programme, survivors, and the holdout of those that
+    reached it; a universe without returns has no cells."""
+    _, rt = data
+    have = {"crypto_core", "core_equity"}
+    asked = []
+
+    def returns_of(universe, first):
+        asked.append((universe, first))
+        return rt.select("date", F.when(F.col("asset") == "A", "BTCUSD").otherwise(F.col("asset")).alias("asset"), "ret") if universe in have else None
+
+    found = experiments.explore_all(returns_of, "volatility")
+    assert dict(asked) == {"core_equity": "2000-01-01", "cross_asset": "2008-01-01", "crypto_core": "2019-01-01"}
+    cells = {(r["universe"], r["variant"]) for r in found.collect()}
+    assert {u for u, _ in cells} == have and len(cells) == 8
+    rows = found.collect()
+    want = {(r["universe"], r["variant"]) for r in rows if r["passes_kill"] and r["beats_benchmarks"]}
+    assert {(r["universe"], r["variant"]) for r in experiments.programme_survivors(found, "volatility").collect()} == want
+    held = experiments.holdout_all(returns_of, "volatility", {("core_equity", "volmanaged_21d"), ("core_equity", "lowvol_63d_long")})
+    assert {(r["universe"], r["variant"]) for r in held.collect()} == {("core_equity", "volmanaged_21d"), ("core_equity", "lowvol_63d_long")}
+    assert {r["verdict"] for r in held.collect()} <= {"survives", "fails"}
+    assert experiments.explore_all(lambda u, f: None, "momentum") is None
+    experiments.save_run(held, "volatility", "holdout", f"{tmp_path}/run")
+    doc = rt.sparkSession.read.json(f"{tmp_path}/run").first()
+    assert doc["partition"] == "holdout" and doc["primary_cost_bps"] == 25 and len(doc["cells"]) == 2 and "core_equity/lowvol_63d_long" in doc["survivors_tested"]
+    line = B.summary_text(B.stats(B.run(rt, B.equal_weights(rt)))).first()[0]
+    assert line.startswith("Sharpe ") and "exposure" in line
