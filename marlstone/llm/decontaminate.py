@@ -259,7 +259,7 @@ def is_leak(item: np.ndarray, answer: np.ndarray, text: np.ndarray) -> tuple[boo
     return False, share
 
 
-def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, part: int = PART) -> DataFrame:
     """(doc_id, item_id, share): leaked items of each document, and the largest
     common share among its passages.
 
@@ -274,7 +274,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     arrow_rows(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     out = spark.createDataFrame([], "doc_id long, item_id long, share double")
-    for ids, texts in parts_of(benchmark):
+    for ids, texts in parts_of(benchmark, part):
         if (found := _search(docs, ids, texts)) is not None:
             out = out.union(found)
     return out.groupBy("doc_id", "item_id").agg(F.max("share").alias("share"))
