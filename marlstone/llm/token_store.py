@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_rows, new_path
+from ._common import arrow_rows, new_path, steps, utf8_buffers
 
 MAGIC = b"MSPLANE1"
 CHUNK = 1 << 16
@@ -43,6 +43,8 @@ NO_ID = -(1 << 63)
 PIECES = 1_200_000
 #: Pieces in the table that is asked first.
 NEAR = 12_000
+#: Characters of text that are encoded at once; a longer text is cut into parts.
+PART = 1 << 21
 
 
 # -- planes ------------------------------------------------------------------
@@ -232,20 +234,25 @@ class Encoder:
         self.off[at] = self.used + np.cumsum(lens) - lens
         self.used += len(new)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts in turn, each with the end id; ids of each text)."""
+    def encode(self, texts: list[str], begins: bool = True, ends_: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in turn, each with the end id; ids of each text).
+        Parts of a text that do not begin it start with a space; those that do
+        not end it get no end id."""
         if len(self.code) > PIECES:
             self._clear()
         flat: list = []
         ends = np.zeros(len(texts), np.int64)
         for k, t in enumerate(texts):
-            if _unsafe(t):
+            if not begins and not _unsafe(t[1:]):
+                flat += t[1:].split(" ")
+            elif _unsafe(t):
                 flat += [(p,) for p in _pieces(t)]
             elif t:
                 s = t.split(" ")
                 s[0] = (s[0],)
                 flat += s
-            flat.append(())
+            if ends_:
+                flat.append(())
             ends[k] = len(flat)
         known = len(self.code)
         # the pieces met first have the frequent ones among them; their small
@@ -265,6 +272,22 @@ class Encoder:
         return ids, np.diff(total[ends - 1], prepend=0)
 
 
+def parts_of(text: str, most: int = 0) -> list[str]:
+    """The text cut at safe spaces, each part about ``most`` characters (0: PART)
+    or up to its next safe space; every part but the first starts with one."""
+    most = most or PART
+    out, at = [], 0
+    while len(text) - at > most:
+        m = _SAFE.search(text, at + most)
+        if m is None:
+            break
+        out.append(text[at : m.start()])
+        at = m.start()
+    return [*out, text[at:]]
+
+
+#: A space between two characters that are no white space.
+_SAFE = re.compile(r"(?<=\S) (?=\S)")
 #: White space other than space and line feed, in ASCII and beyond.
 _RARE_ASCII = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 _RARE = re.compile(r"[^\S \n]")
@@ -335,9 +358,20 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, c
                 out = fs.open_output_stream(part)
                 writer = PlaneWriter(out, chunk, kind)
             ids = b.column(0).fill_null(NO_ID).to_pylist()
-            for i in range(0, len(ids), 500):
-                coded, lens = enc.encode(b.column(1).slice(i, 500).to_pylist())
-                writer.add(ids[i : i + 500], lens.tolist(), coded)
+            _, at = utf8_buffers(b.column(1))
+            for i, j in steps(at, PART):
+                for k in range(i, j, 500):
+                    texts = b.column(1).slice(k, min(500, j - k)).to_pylist()
+                    if len(texts) > 1 or len(texts[0]) <= PART:
+                        coded, lens = enc.encode(texts)
+                        writer.add(ids[k : k + len(texts)], lens.tolist(), coded)
+                        continue
+                    parts, n = parts_of(texts[0]), 0
+                    for part, text in enumerate(parts):
+                        coded, _ = enc.encode([text], part == 0, part == len(parts) - 1)
+                        n += len(coded)
+                        writer.add([], [], coded)
+                    writer.add([ids[k]], [n], coded[:0])
         if writer is not None:
             writer.close()
             out.close()

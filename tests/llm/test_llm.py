@@ -300,6 +300,20 @@ def test_encoder_starts_afresh(monkeypatch):
         assert ids.tolist() == want and lens.sum() == len(ids)
 
 
+@pytest.mark.parametrize("most", [1, 5, 40])
+def test_a_long_text_is_encoded_in_parts(most):
+    import public_tokenizers
+
+    e = token_store.Encoder(public_tokenizers.path("byte_bpe_50k.json"), 0)
+    rng = random.Random(71)
+    texts = ["", " ", "a", "  a  b ", " lead", "trail ", "a\u00a0 b c\t d \n e", "x" * 300, *("".join(rng.choice("ab .,'1é\n  ") for _ in range(rng.randint(0, 200))) for _ in range(60)), *(prose(rng, 60) for _ in range(5))]
+    for t in texts:
+        parts = token_store.parts_of(t, most)
+        assert "".join(parts) == t and all(p[0] == " " for p in parts[1:])
+        got = [i for k, p in enumerate(parts) for i in e.encode([p], k == 0, k == len(parts) - 1)[0].tolist()]
+        assert got == [*e.tok.encode(t, add_special_tokens=False).ids, 0]
+
+
 # -- language ----------------------------------------------------------------
 
 TONGUES = {"en": "the and that with from which there ought thing".split(), "de": "der und nicht mit einer schön über wegen ich".split(), "es": "el que los con para señor niño muy esta".split(), "fr": "le les avec pour être où très une français".split()}
