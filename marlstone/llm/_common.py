@@ -39,6 +39,15 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def ranges(df: DataFrame, per: int = 1 << 28) -> int:
+    """Partitions to sort df into: one for each ``per`` bytes that the planner
+    expects, and no fewer than spark.sql.shuffle.partitions, which alone counts
+    where the planner knows no size."""
+    least = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return least if size >= 1 << 60 else max(least, -(-size // per))
+
+
 # -- text in Arrow buffers ---------------------------------------------------
 
 

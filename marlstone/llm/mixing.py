@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, small
+from ._common import cut, ranges, small
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -31,8 +31,7 @@ def running(df: DataFrame, order: list[Column], value: str, name: str) -> DataFr
     so no task holds more than its range; only a row per range reaches the
     driver."""
     spark = df.sparkSession
-    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    df = cut(df.repartitionByRange(ranges, *order).withColumn("range", F.spark_partition_id()), name)
+    df = cut(df.repartitionByRange(ranges(df), *order).withColumn("range", F.spark_partition_id()), name)
     base, rank, total = [], 0, 0
     for r in sorted(df.groupBy("range").agg(F.count("*").alias("n"), F.sum(value).alias("v")).collect(), key=lambda r: r["range"]):
         base.append((r["range"], rank, total))

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_rows, new_path, steps, utf8_buffers
+from ._common import arrow_rows, new_path, ranges, steps, utf8_buffers
 
 MAGIC = b"MSPLANE1"
 CHUNK = 1 << 16
@@ -342,7 +342,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, c
     """
     spark = docs.sparkSession
     arrow_rows(spark)
-    n = files or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = files or ranges(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
