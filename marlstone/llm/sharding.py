@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import cut, new_path
+from .mixing import running
 
 SLOTS = 4096
 
@@ -125,8 +126,8 @@ def shard_documents(docs: DataFrame, shards: int = 16, slots: int = SLOTS, id_co
     map balances the bytes of the slots, so shards are near equal in bytes.
     slot: the row's place in its shard, gapless from 0, by virtual slot,
     identifier and checksum; rows that agree in all of these take places in any
-    order. Places come from counts per virtual slot, so no task sorts more than
-    one slot's rows. A row without identifier hashes by its text's checksum.
+    order. Places come from counts per virtual slot and an order by ranges that
+    a repeated identifier can't widen, so no task sorts more than its range. A row without identifier hashes by its text's checksum.
     The map is stored at ``map_path`` and read back, see stored_map; a given
     ``slot_map`` is used as it is and not stored. An empty table gives an empty one.
     """
@@ -134,17 +135,20 @@ def shard_documents(docs: DataFrame, shards: int = 16, slots: int = SLOTS, id_co
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.col("text_crc32").cast("string")))
-    rows = cut(rows.withColumn("virtual_slot", slot_of(key, slots)), "slots")
+    rows = cut(rows.withColumns({"virtual_slot": slot_of(key, slots), "tie": F.monotonically_increasing_id()}), "slots")
     held = {r["virtual_slot"]: (r["bytes"], r["n"]) for r in rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()}  # at most ``slots`` rows
     map_ = slot_map or stored_map(spark, [held.get(k, (0, 0))[0] for k in range(slots)], shards, map_path)
-    base, out = [0] * map_.shards, []
+    # a row's rank over all, less that of its virtual slot, plus the slot's place in its shard
+    base, out, before = [0] * map_.shards, [], 0
     for k, s in enumerate(map_.shard):
-        out.append((k, s, base[s]))
-        base[s] += held.get(k, (0, 0))[1]
-    places = F.broadcast(spark.createDataFrame(out, "virtual_slot int, shard int, base long"))
-    ranked = rows.withColumn("r", F.expr("row_number() over (partition by virtual_slot order by doc_id, text_crc32, size)"))
+        n = held.get(k, (0, 0))[1]
+        out.append((k, s, base[s] - before))
+        base[s] += n
+        before += n
+    places = F.broadcast(spark.createDataFrame(out, "virtual_slot int, shard int, shift long"))
+    ranked = running(rows, [F.col(c) for c in ("virtual_slot", "doc_id", "text_crc32", "size", "tie")], "size", "places")
     return ranked.join(places, "virtual_slot").select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + F.col("r") - 1).alias("slot"),
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("rank") + F.col("shift")).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"), "virtual_slot",
     )
 
