@@ -145,10 +145,10 @@ def stats(curve: DataFrame, by: list[str] = []) -> DataFrame:
 
 
 def summary_text(found: DataFrame, by: list[str] = []) -> DataFrame:
-    """by, summary: a row of ``stats`` in a line; unknown figures as null."""
-    percent = lambda c: F.col(c) * 100
-    line = "Sharpe %+.3f  CAGR %+.2f%%  volatility %.2f%%  drawdown %.2f%%  turnover %.1fx a year  exposure %.0f%%"
-    return found.select(*by, F.format_string(line, "sharpe", percent("cagr"), percent("vol"), percent("max_drawdown"), "turnover_per_year", percent("average_exposure")).alias("summary"))
+    """by, summary: a row of ``stats`` in a line; n/a for what is null."""
+    parts = (("Sharpe ", "%+.3f", "sharpe", 1), ("  CAGR ", "%+.2f%%", "cagr", 100), ("  volatility ", "%.2f%%", "vol", 100), ("  drawdown ", "%.2f%%", "max_drawdown", 100), ("  turnover ", "%.1fx a year", "turnover_per_year", 1), ("  exposure ", "%.0f%%", "average_exposure", 100))
+    words = [x for name, form, c, k in parts for x in (F.lit(name), F.when(F.col(c).isNull(), "n/a").otherwise(F.format_string(form, F.col(c) * k)))]
+    return found.select(*by, F.concat(*words).alias("summary"))
 
 
 def cost_sharpes(days: DataFrame, costs: tuple[int, ...] = (10, 25, 50), by: list[str] = []) -> DataFrame:

@@ -469,7 +469,8 @@ query("backtest_path", f"{_f}, {MOMENTUM}, {DAILY}, {CURVE} select {day()}, {',
 query("backtest_stats", f"{_f}, {MOMENTUM}, {DAILY}, {CURVE}, {STATS}")(lambda s, d: backtest.stats(backtest.run(*_momentum(s, d))))
 query(
     "backtest_summary",
-    f"""{_f}, {MOMENTUM}, {DAILY}, {CURVE}, {STATS_TABLE} select printf('Sharpe %+.3f  CAGR %+.2f%%  volatility %.2f%%  drawdown %.2f%%  turnover %.1fx a year  exposure %.0f%%', sharpe, cagr * 100, vol * 100, max_drawdown * 100, turnover_per_year, average_exposure * 100) as summary from sx""",
+    f"""{_f}, {MOMENTUM}, {DAILY}, {CURVE}, {STATS_TABLE} select 'Sharpe ' || coalesce(printf('%+.3f', sharpe), 'n/a') || '  CAGR ' || coalesce(printf('%+.2f%%', cagr * 100), 'n/a') || '  volatility ' || coalesce(printf('%.2f%%', vol * 100), 'n/a') || '  drawdown ' || coalesce(printf('%.2f%%', max_drawdown * 100), 'n/a')
+  || '  turnover ' || coalesce(printf('%.1fx a year', turnover_per_year), 'n/a') || '  exposure ' || coalesce(printf('%.0f%%', average_exposure * 100), 'n/a') as summary from sx""",
 )(lambda s, d: backtest.summary_text(backtest.stats(backtest.run(*_momentum(s, d)))))
 query("panel_text", f"""with {aligned_sql('PN-S')}, rp as ({REPORT}) select format('{{}} of {{}} assets, {{}} rows from {{}} to {{}}, {{}} values filled', count(*) filter (status = 'retained'), count(*), (select count(distinct date) from px), (select strftime(min(date), '%Y-%m-%d') from px), (select strftime(max(date), '%Y-%m-%d') from px), sum(filled)::bigint) as summary from rp""")(
     lambda s, d: alignment.summary_text(alignment.align(prices(s, d, "PN-S"))))
