@@ -22,9 +22,7 @@ import posixpath
 import re
 import uuid
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
-from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,11 +37,13 @@ from ._common import arrow_rows, new_path, ranges, steps, utf8_buffers
 MAGIC = b"MSPLANE1"
 CHUNK = 1 << 16
 NO_ID = -(1 << 63)
-#: Pieces that a worker remembers the ids of (about 200 bytes each).
-PIECES = 1_200_000
-#: Pieces in the table that is asked first.
-NEAR = 12_000
-#: Characters of text that are encoded at once; a longer text is cut into parts.
+#: Pieces that a worker remembers the ids of (about 70 bytes each).
+PIECES = 2_000_000
+#: Words, those met first, that it keeps when it starts afresh.
+NEAR = 200_000
+#: Bytes of texts that are encoded at once.
+STEP = 1 << 20
+#: Characters of a text that are encoded at once; a longer text is cut into parts.
 PART = 1 << 21
 
 
@@ -159,8 +159,13 @@ class Encoder:
     characters that are no white space; a byte-level vocabulary whose pattern
     takes that space to the next word never joins over such a cut, so the ids
     of a text are those of its pieces in turn. New pieces are encoded many at a
-    time as one text, which the bytes of each token part again. A worker
-    remembers the ids of up to ``PIECES`` pieces, then starts afresh."""
+    time as one text, which the bytes of each token part again.
+
+    A worker remembers the ids of up to ``PIECES`` pieces, then starts afresh
+    with the ``NEAR`` words met first, which hold the frequent ones. Words of at
+    most 16 bytes are their own keys, two numbers, in an open table that is
+    asked for all words of many texts at once; the first word of a text, longer
+    words and pieces with other white space are keys of a dictionary."""
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
@@ -172,104 +177,244 @@ class Encoder:
         for token, i in vocabulary.items():  # a character of a byte-level token is a byte
             self.bytes_of[i] = len(token)
         # marks that end a word after a letter or digit as a token of their own
-        self.marks = {}
+        self.marks = np.full(256, -1, np.int64)
         for m in ",.":
             a, b = self._ids([" ab", f" ab{m}"])
             if b[:-1] == a:
-                self.marks[m] = b[-1]
+                self.marks[ord(m)] = b[-1]
+        self.n = 0
         self._clear()
 
     def _clear(self) -> None:
-        self.code: defaultdict = defaultdict()
-        self.code.default_factory = self.code.__len__
-        self.bank, self.used = np.zeros(1 << 20, np.uint32), 1
-        self.bank[0] = self.end_id
+        """Forget all pieces but the first ``NEAR`` words of the table."""
+        keep = np.flatnonzero(self.lo[: min(self.n, NEAR)]) if self.n else np.zeros(0, np.int64)
+        lo, hi, lens, ids = (self.lo[keep], self.hi[keep], self.len[keep], self._gather(keep)) if self.n else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), keep, np.zeros(0, np.uint32))
+        self.code: dict = {}
+        self.bank, self.used = np.zeros(1 << 20, np.uint32), 0
+        # of each piece its key (0: in the dictionary), place in the bank, ids
+        self.lo, self.hi = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.uint64)
         self.off, self.len = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.code[()] = 0  # the end of a text
-        self.near: dict = {}
-        self.len[0] = 1
+        self.slot, self.n = np.zeros(1 << 17, np.int32), 0
+        self._add(np.array([self.end_id], np.uint32), np.ones(1, np.int64))  # piece 0 is the end of a text
+        self._enter(lo, hi, self._add(ids, lens))
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, keys: list, first: int) -> None:
-        """Ids of new pieces; keys[k] has code first + k. A word stands for the
-        word after a space, a tuple for its text as it is."""
-        words, rest, marked = [], [], []
-        for k, key in enumerate(keys):
-            if not isinstance(key, str):
-                rest.append(k)
-            elif key[-1] in self.marks and key[-2:-1].isalnum() and (c := self.code.get(key[:-1], first)) < first:
-                marked.append((k, c, self.marks[key[-1]]))  # a known word and a mark
-            else:
-                words.append(k)
-        flat = [np.append(self.bank[self.off[c] : self.off[c] + self.len[c]], np.uint32(m)) for _, c, m in marked]
-        lens = [np.array([len(x) for x in flat], np.int64)]
-        for i in range(0, len(words), 4096):
-            part = [keys[k] for k in words[i : i + 4096]]
-            joined = " " + " ".join(part)
-            ids = np.array(self._ids([joined])[0], np.uint32)
-            ends = np.cumsum(self.bytes_of[ids])
-            size = map(len, part) if joined.isascii() else (len(w.encode()) for w in part)
-            want = np.cumsum(np.fromiter(size, np.int64, len(part)) + 1)
-            cuts = np.searchsorted(ends, want)
-            if cuts[-1] == len(ids) - 1 and np.array_equal(ends[cuts], want):
-                flat.append(ids)
-                lens.append(np.diff(cuts, prepend=-1))
-            else:  # a token over a cut: not such a vocabulary
-                rest += words[i : i + 4096]
-                words[i : i + 4096] = [-1] * len(part)
-        order = [k for k, _, _ in marked] + [k for k in words if k >= 0] + rest
-        alone = self._ids([k[0] if isinstance(k, tuple) else " " + k for k in map(keys.__getitem__, rest)])
-        flat += [np.array(x, np.uint32) for x in alone]
-        lens.append(np.array([len(x) for x in alone], np.int64))
-        new, lens = np.concatenate(flat), np.concatenate(lens)
-        while self.used + len(new) > len(self.bank):
+    # the bank of ids
+
+    def _add(self, ids: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        """Numbers of new pieces with these ids."""
+        while self.used + len(ids) > len(self.bank):
             self.bank = np.concatenate([self.bank, np.zeros_like(self.bank)])
-        while first + len(keys) > len(self.off):
-            self.off, self.len = np.concatenate([self.off, np.zeros_like(self.off)]), np.concatenate([self.len, np.zeros_like(self.len)])
-        self.bank[self.used : self.used + len(new)] = new
-        at = first + np.array(order)
-        self.len[at] = lens
-        self.off[at] = self.used + np.cumsum(lens) - lens
-        self.used += len(new)
+        while self.n + len(lens) > len(self.off):
+            self.lo, self.hi, self.off, self.len = (np.concatenate([x, np.zeros_like(x)]) for x in (self.lo, self.hi, self.off, self.len))
+        new = np.arange(self.n, self.n + len(lens))
+        self.bank[self.used : self.used + len(ids)] = ids
+        self.len[new] = lens
+        self.off[new] = self.used + np.cumsum(lens) - lens
+        self.used += len(ids)
+        self.n += len(lens)
+        return new
+
+    def _gather(self, codes: np.ndarray) -> np.ndarray:
+        """Ids of pieces in turn."""
+        return self.bank[_spans(self.off[codes], self.len[codes])]
+
+    # the table of words
+
+    def _places(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        return (_scatter(lo, hi) >> np.uint64(65 - len(self.slot).bit_length())).astype(np.int64)
+
+    def _enter(self, lo: np.ndarray, hi: np.ndarray, codes: np.ndarray) -> None:
+        """Puts words, each once, into the table."""
+        self.lo[codes], self.hi[codes] = lo, hi
+        if 2 * self.n > len(self.slot):
+            while 2 * self.n > len(self.slot):
+                self.slot = np.zeros(2 * len(self.slot), np.int32)
+            codes = np.flatnonzero(self.lo[: self.n])
+            lo, hi = self.lo[codes], self.hi[codes]
+        at, last = self._places(lo, hi), len(self.slot) - 1
+        while len(codes):
+            free = self.slot[at] == 0
+            self.slot[at[free]] = codes[free]
+            left = self.slot[at] != codes
+            at, codes = (at[left] + 1) & last, codes[left]
+
+    def _find(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Numbers of words, 0 of unknown ones."""
+        at, last = self._places(lo, hi), len(self.slot) - 1
+        out = self.slot[at].astype(np.int64)
+        left = np.flatnonzero((out != 0) & ((self.lo[out] != lo) | (self.hi[out] != hi)))
+        at = at[left]
+        while len(left):
+            at = (at + 1) & last
+            got = self.slot[at]
+            out[left] = got
+            more = (got != 0) & ((self.lo[got] != lo[left]) | (self.hi[got] != hi[left]))
+            left, at = left[more], at[more]
+        return out
+
+    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> None:
+        """Learns words that come after a space, each given once."""
+        # a known word and a mark
+        mark, before = self.marks[data[ends - 1]], data[ends - 2]
+        ends_so = np.flatnonzero((mark >= 0) & (ends - starts > 1) & _ALNUM[before])
+        known = self._find(*_keys(data, starts[ends_so], ends[ends_so] - 1))
+        ends_so, known = ends_so[known > 0], known[known > 0]
+        if len(known):
+            lens = self.len[known] + 1
+            ids = np.empty(lens.sum(), np.uint32)
+            is_mark = np.zeros(len(ids), bool)
+            is_mark[np.cumsum(lens) - 1] = True
+            ids[is_mark], ids[~is_mark] = mark[ends_so], self._gather(known)
+            self._enter(lo[ends_so], hi[ends_so], self._add(ids, lens))
+        rest = np.ones(len(starts), bool)
+        rest[ends_so] = False
+        rest = np.flatnonzero(rest)
+        for i in range(0, len(rest), 4096):
+            part = rest[i : i + 4096]
+            sizes = ends[part] - starts[part] + 1  # with the space before it
+            joined = data[_spans(starts[part] - 1, sizes)].tobytes()
+            ids = np.array(self._ids([joined.decode()])[0], np.uint32)
+            reach, want = np.cumsum(self.bytes_of[ids]), np.cumsum(sizes)
+            cuts = np.searchsorted(reach, want)
+            if cuts[-1] == len(ids) - 1 and np.array_equal(reach[cuts], want):
+                lens = np.diff(cuts, prepend=-1)
+            else:  # a token over a cut: not such a vocabulary
+                alone = self._ids([joined[b - n : b].decode() for b, n in zip(want.tolist(), sizes.tolist())])
+                ids, lens = np.array([x for y in alone for x in y], np.uint32), np.array([len(x) for x in alone], np.int64)
+            self._enter(lo[part], hi[part], self._add(ids, lens))
+
+    def _others(self, keys: list[str]) -> list[int]:
+        """Numbers of pieces by the dictionary."""
+        new = [k for k in dict.fromkeys(keys) if k not in self.code]
+        if new:
+            alone = self._ids(new)
+            codes = self._add(np.array([x for y in alone for x in y], np.uint32), np.array([len(x) for x in alone], np.int64))
+            self.code.update(zip(new, codes.tolist()))
+        return [self.code[k] for k in keys]
 
     def encode(self, texts: list[str], begins: bool = True, ends_: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in turn, each with the end id; ids of each text).
         Parts of a text that do not begin it start with a space; those that do
         not end it get no end id."""
-        if len(self.code) > PIECES:
+        return self.encode_bytes(*utf8_buffers(pa.array(texts, pa.large_string())), begins, ends_)
+
+    def encode_bytes(self, data: np.ndarray, at: np.ndarray, begins: bool = True, ends_: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """``encode`` of texts that lie one after the other in UTF-8."""
+        if self.n > PIECES or self.used > 16 * PIECES:
             self._clear()
-        flat: list = []
-        ends = np.zeros(len(texts), np.int64)
-        for k, t in enumerate(texts):
-            if not begins and not _unsafe(t[1:]):
-                flat += t[1:].split(" ")
-            elif _unsafe(t):
-                flat += [(p,) for p in _pieces(t)]
-            elif t:
-                s = t.split(" ")
-                s[0] = (s[0],)
-                flat += s
-            if ends_:
-                flat.append(())
-            ends[k] = len(flat)
-        known = len(self.code)
-        # the pieces met first have the frequent ones among them; their small
-        # table stays in the cache of the CPU
-        if not self.near and known > NEAR:
-            self.near = dict(islice(self.code.items(), NEAR))
-        codes = np.fromiter(map(self.near.get, flat, repeat(-1)), np.int64, len(flat))
-        far = np.flatnonzero(codes < 0)
-        codes[far] = np.fromiter(map(self.code.__getitem__, map(flat.__getitem__, far.tolist())), np.int64, len(far))
-        fresh = np.flatnonzero(codes >= known)
-        if len(fresh):
-            _, at = np.unique(codes[fresh], return_index=True)
-            self._learn([flat[i] for i in fresh[at].tolist()], known)
+        size, n = len(data), len(at) - 1
+        odd = _odd(data, at, begins)
+        opens = np.zeros(size + 1, bool)  # where texts begin
+        opens[at] = True
+        start = np.zeros(size + 1, bool)
+        np.equal(data, 32, out=start[1:])
+        start |= opens
+        starts = np.flatnonzero(start[:size])
+        if not begins:  # the space that begins a part belongs to its first word
+            starts = starts[~opens[starts]]
+        ends = np.append(starts[1:], size)
+        ends -= ~opens[ends]
+        text = np.repeat(np.arange(n), np.diff(np.searchsorted(starts, at)))
+        first = opens[starts]
+        counts = np.bincount(text, minlength=n)
+        pieces: list[str] = []  # of odd texts
+        if odd.any():
+            keep = ~odd[text]
+            starts, ends, text, first = starts[keep], ends[keep], text[keep], first[keep]
+            for k in np.flatnonzero(odd).tolist():
+                own = _pieces(data[at[k] : at[k + 1]].tobytes().decode())
+                counts[k] = len(own)
+                pieces += own
+        close = np.cumsum(counts + ends_)
+        codes = np.zeros(close[-1] if n else 0, np.int64)  # 0: the end of a text
+        own = np.zeros(len(codes), bool)  # of texts that are not odd
+        if len(pieces):
+            own[_spans((close - counts - ends_)[odd], counts[odd])] = True
+            codes[own] = self._others(pieces)
+            own[:] = False
+        own[_spans((close - counts - ends_)[~odd], counts[~odd])] = True
+        found = np.zeros(len(starts), np.int64)
+        by_name = first | (ends - starts > 16)
+        words = np.flatnonzero(~by_name)
+        a, e = starts[words], ends[words]
+        lo, hi = _keys(data, a, e)
+        found[words] = got = self._find(lo, hi)
+        new = np.flatnonzero(got == 0)
+        while len(new):
+            _, once = np.unique(_scatter(lo[new], hi[new]), return_index=True)
+            once = new[once]
+            self._learn(data, a[once], e[once], lo[once], hi[once])
+            got = self._find(lo[new], hi[new])
+            found[words[new]] = got
+            new = new[got == 0]  # other words of the same hash
+        name = np.flatnonzero(by_name)
+        found[name] = self._others([data[a - (not f) : e].tobytes().decode() for a, e, f in zip(starts[name].tolist(), ends[name].tolist(), first[name].tolist())])
+        codes[own] = found
         lens = self.len[codes]
-        total = np.cumsum(lens)
-        ids = self.bank[np.repeat(self.off[codes] - (total - lens), lens) + np.arange(total[-1] if len(total) else 0)]
-        return ids, np.diff(total[ends - 1], prepend=0)
+        total = np.concatenate([[0], np.cumsum(lens)])
+        return self._gather(codes), np.diff(total[np.concatenate([[0], close])])
+
+
+def _spans(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """All positions of spans, one after the other."""
+    total = np.cumsum(lens)
+    return np.repeat(starts - (total - lens), lens) + np.arange(total[-1] if len(total) else 0)
+
+
+_MASK = np.array([(1 << 8 * min(n, 8)) - 1 for n in range(17)], np.uint64)
+
+
+def _keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of words of 1 to 16 bytes, none of them 0, as two numbers."""
+    padded = np.concatenate([data, np.zeros(16, np.uint8)])
+    eight = np.ndarray((len(data) + 9,), "<u8", padded, strides=(1,))
+    lens = ends - starts
+    hi, long = np.zeros(len(starts), np.uint64), np.flatnonzero(lens > 8)
+    hi[long] = eight[starts[long] + 8] & _MASK[lens[long] - 8]
+    return eight[starts] & _MASK[lens], hi
+
+
+def _scatter(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    x = (lo ^ hi * np.uint64(0xBF58476D1CE4E5B9)) * np.uint64(0x9E3779B97F4A7C15)
+    return (x ^ x >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
+
+
+#: ASCII letters and digits.
+_ALNUM = np.array([chr(k).isalnum() and k < 128 for k in range(256)])
+#: White space; bytes that are or may begin white space other than space and line feed, or 0.
+_WHITE = np.isin(np.arange(256), [32, *range(9, 14), *range(28, 32)])
+_WIDE = {c: ord(c) for c in map(chr, range(128, 0x3001)) if c.isspace()}
+_MAYBE = _WHITE.copy()
+_MAYBE[[0, *(c.encode()[0] for c in _WIDE)]] = True
+_MAYBE[[10, 32]] = False
+#: White space beyond ASCII as its two or three bytes.
+_WIDE_BYTES = np.array([int.from_bytes(c.encode(), "big") for c in _WIDE])
+
+
+def _odd(data: np.ndarray, at: np.ndarray, begins: bool = True) -> np.ndarray:
+    """Of each text whether a space may have white space or an end of the text
+    beside it, or a byte is 0. Parts that do not begin a text start with a safe
+    space."""
+    odd = np.zeros(len(at) - 1, bool)
+    if not len(data):
+        return odd
+    held = np.flatnonzero(at[1:] > at[:-1])
+    a, e = at[held], at[held + 1]
+    if begins:
+        odd[held] = data[a] == 32
+    odd[held] |= (data[e - 1] == 32) | (e - a < 1 + (not begins))
+    space = np.flatnonzero(data[:-1] == 32)
+    beside = space[_WHITE[data[space + 1]] | (_WHITE[data[space - 1]] & (space > 0))]
+    maybe = np.flatnonzero(_MAYBE[data])
+    if len(maybe):
+        x, y, z = (np.concatenate([data, np.zeros(2, np.uint8)])[maybe + k].astype(np.int64) for k in range(3))
+        sure = (x < 128) | np.isin(x << 8 | y, _WIDE_BYTES) | np.isin(x << 16 | y << 8 | z, _WIDE_BYTES)
+        beside = np.concatenate([beside, maybe[sure]])
+    odd[np.searchsorted(at, beside, "right") - 1] = True
+    return odd
 
 
 def parts_of(text: str, most: int = 0) -> list[str]:
@@ -288,16 +433,6 @@ def parts_of(text: str, most: int = 0) -> list[str]:
 
 #: A space between two characters that are no white space.
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
-#: White space other than space and line feed, in ASCII and beyond.
-_RARE_ASCII = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
-_RARE = re.compile(r"[^\S \n]")
-
-
-def _unsafe(t: str) -> bool:
-    """Whether a space may have white space or an end of the text beside it."""
-    if t[:1] == " " or t[-1:] == " " or "  " in t or " \n" in t or "\n " in t:
-        return True
-    return any(c in t for c in _RARE_ASCII) if t.isascii() else _RARE.search(t) is not None
 
 
 def _pieces(text: str) -> list[str]:
@@ -358,20 +493,18 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, c
                 out = fs.open_output_stream(part)
                 writer = PlaneWriter(out, chunk, kind)
             ids = b.column(0).fill_null(NO_ID).to_pylist()
-            _, at = utf8_buffers(b.column(1))
-            for i, j in steps(at, PART):
-                for k in range(i, j, 500):
-                    texts = b.column(1).slice(k, min(500, j - k)).to_pylist()
-                    if len(texts) > 1 or len(texts[0]) <= PART:
-                        coded, lens = enc.encode(texts)
-                        writer.add(ids[k : k + len(texts)], lens.tolist(), coded)
-                        continue
-                    parts, n = parts_of(texts[0]), 0
-                    for part, text in enumerate(parts):
-                        coded, _ = enc.encode([text], part == 0, part == len(parts) - 1)
-                        n += len(coded)
-                        writer.add([], [], coded)
-                    writer.add([ids[k]], [n], coded[:0])
+            data, at = utf8_buffers(b.column(1))
+            for i, j in steps(at, STEP):
+                if at[j] - at[i] <= PART:
+                    coded, lens = enc.encode_bytes(data[at[i] : at[j]], at[i : j + 1] - at[i])
+                    writer.add(ids[i:j], lens.tolist(), coded)
+                    continue
+                parts, n = parts_of(data[at[i] : at[j]].tobytes().decode()), 0
+                for k, text in enumerate(parts):
+                    coded, _ = enc.encode([text], k == 0, k == len(parts) - 1)
+                    n += len(coded)
+                    writer.add([], [], coded)
+                writer.add([ids[i]], [n], coded[:0])
         if writer is not None:
             writer.close()
             out.close()
