@@ -19,8 +19,9 @@
    paraphrase and a leak only if the item's answer (its last sentence) is found.
 
 A match at the least share holds one of the rarest words of its item, so a
-passage is compared if such a word lies in it or within the reach of the words
-that verification looks at; what is skipped holds no match. The cosine cut can
+passage is compared if such a word of any item lies in it or within the reach of
+the words that verification looks at, and a candidate is verified if one of its
+own item does; what is skipped holds no match. The cosine cut can
 lose one: the tests measure its recall against all positions of all texts.
 A large benchmark is searched part by part.
 """
@@ -92,16 +93,24 @@ class Vocabulary:
     def __init__(self, hashes: np.ndarray):
         self.hashes = np.unique(hashes)
         self.gate = np.zeros(1 << 20, bool)
-        self.gate[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
+        at = (self.hashes >> np.uint64(44)).astype(np.int64)
+        self.gate[at] = True
+        self.some = np.zeros(1 << 20, np.int32)  # one of the words of these bits
+        self.some[at] = np.arange(len(at))
 
     def __len__(self) -> int:
         return len(self.hashes)
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(positions of known words, their indices)."""
-        at = np.flatnonzero(self.gate[(h >> np.uint64(44)).astype(np.int64)])
-        k = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
-        same = self.hashes[k] == h[at]
+        bits = (h >> np.uint64(44)).astype(np.int64)
+        at = np.flatnonzero(self.gate[bits])
+        h, k = h[at], self.some[bits[at]].astype(np.int64)
+        same = self.hashes[k] == h
+        other = np.flatnonzero(~same)
+        if len(other):
+            k[other] = np.minimum(np.searchsorted(self.hashes, h[other]), len(self.hashes) - 1)
+            same[other] = self.hashes[k[other]] == h[other]
         return at[same], k[same]
 
 
@@ -127,8 +136,26 @@ def omega(terms: int, seed: int = 5) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((terms, SKETCH)).astype(np.float32)
 
 
-def _sums(rows: np.ndarray, heads: np.ndarray) -> np.ndarray:
-    return np.add.reduceat(rows, heads, axis=0)
+def _spans(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """All positions of spans, one after the other."""
+    return np.repeat(starts - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())
+
+
+def _sums(rows: np.ndarray, index: np.ndarray, heads: np.ndarray, most: int = WINDOW) -> np.ndarray:
+    """Sums of rows[index] over runs that begin at ``heads``. The k-th rows of
+    all runs are added at once, longest runs first; runs of more than ``most``
+    rows are added up in parts."""
+    lens = np.diff(np.append(heads, len(index)))
+    parts = -(-lens // most)
+    begin = _spans(np.zeros_like(parts), parts) * most + np.repeat(heads, parts)
+    lens = np.minimum(np.repeat(heads + lens, parts) - begin, most)
+    order = np.argsort(-lens, kind="stable")
+    begin, sums = begin[order], np.zeros((len(begin), rows.shape[1]), rows.dtype)
+    for k, n in enumerate(len(lens) - np.searchsorted(np.sort(lens), np.arange(lens.max(initial=0)), "right")):
+        sums[:n] += rows[index[begin[:n] + k]]
+    out = np.empty_like(sums)
+    out[order] = sums
+    return out if len(out) == len(parts) else np.add.reduceat(out, np.cumsum(parts) - parts, axis=0)
 
 
 def _heads(x: np.ndarray) -> np.ndarray:
@@ -168,12 +195,12 @@ def sketch(docs: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndar
                     seen[text[x:y] - k, t[x:y]] = True
                     df += np.count_nonzero(seen, axis=0)
                 heads = _heads(text * (1 << 40) + (at - first[text]) // WINDOW)
-                y = _sums(o[t], heads)
+                y = _sums(o, t, heads)
                 owner = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(t))))
                 order = np.argsort(t.astype(np.int32), kind="stable")
                 ts = t[order]
                 per = _heads(ts)
-                z[ts[per]] += _sums(y[owner[order]], per)
+                z[ts[per]] += _sums(y, owner[order], per)
         for k in range(0, terms, BLOCK_ROWS):
             if df[k : k + BLOCK_ROWS].any():
                 yield part(k, z[k : k + BLOCK_ROWS].astype(np.float64), df[k : k + BLOCK_ROWS])
@@ -299,10 +326,14 @@ def _search(docs: DataFrame, ids: list[int], texts: list[str]) -> DataFrame | No
     answers = [_answer(t) for t in texts]
     # the rarest words of an item, of which a match at the least share has one
     _, term = vocabulary.find(h)
-    telling = np.zeros(len(vocabulary), bool)
-    for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+    telling, rarest = np.zeros(len(vocabulary), bool), []
+    for m, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
         own = term[a:b]
-        telling[own[np.argsort(df[own], kind="stable")[: (b - a) - int(np.ceil(PARAPHRASE * (b - a))) + 1]]] = True
+        own = own[np.argsort(df[own], kind="stable")[: (b - a) - int(np.ceil(PARAPHRASE * (b - a))) + 1]]
+        telling[own] = True
+        rarest.append(own + m * len(vocabulary))
+    rarest = np.unique(np.concatenate(rarest))
+    sizes = np.diff(first)
     owner, a, e = passages(first, WINDOW, WINDOW // 2)
     run_ = np.concatenate([np.zeros((1, rows.shape[1])), np.cumsum(rows[term], axis=0, dtype=np.float64)])
     q = run_[e] - run_[a]
@@ -310,10 +341,10 @@ def _search(docs: DataFrame, ids: list[int], texts: list[str]) -> DataFrame | No
     bags = [Counter(w.tolist()) for w in item_words]
     # how far from a passage a word of its match may lie
     reach = max(map(len, item_words)) + MARGIN
-    shared = spark.sparkContext.broadcast((vocabulary, rows, telling, q, owner, a - first[owner], item_words, bags, answers, ids, COSINE))
+    shared = spark.sparkContext.broadcast((vocabulary, rows, telling, rarest, q, owner, a - first[owner], sizes, item_words, bags, answers, ids, COSINE))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rows, telling, q, owner, offset, item_words, bags, answers, ids, least = shared.value
+        known, rows, telling, rarest, q, owner, offset, sizes, item_words, bags, answers, ids, least = shared.value
         for b in batches:
             doc_ids, out = b.column("doc_id").to_pylist(), {}
             for i, _, h, first in _texts(b, reach + WINDOW):
@@ -321,22 +352,23 @@ def _search(docs: DataFrame, ids: list[int], texts: list[str]) -> DataFrame | No
                 if not len(at):
                     continue
                 text, a, e = passages(first)
-                rare = at[telling[t]]
+                rare, rare_t = at[telling[t]], t[telling[t]]
+                rares, knowns = _before(rare, len(h)), _before(at, len(h))
                 lo_, hi_ = np.maximum(a - reach, first[text]), np.minimum(e + reach, first[text + 1])
-                on = np.searchsorted(rare, hi_) > np.searchsorted(rare, lo_)
-                on = np.flatnonzero(on & (np.searchsorted(at, e) > np.searchsorted(at, a)))
+                on = np.flatnonzero((rares[hi_] > rares[lo_]) & (knowns[e] > knowns[a]))
                 if not len(on):
                     continue
                 text, a, e = text[on], a[on], e[on]
-                lo_, hi_ = np.searchsorted(at, a), np.searchsorted(at, e)
-                # rows of the words of these passages alone, summed by passage
-                lens = hi_ - lo_
-                flat = np.repeat(lo_ - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())
-                x = _sums(rows[t[flat]], np.cumsum(lens) - lens)
+                x = _rows_of(rows, first, at, t, text, a, e)
                 x /= np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
                 for s in range(0, len(q), BLOCK):
-                    p, k = np.nonzero(x @ q[s : s + BLOCK].T > least)
-                    for p_, k_ in zip(p.tolist(), (k + s).tolist()):
+                    p, k = np.divmod(np.flatnonzero(x @ q[s : s + BLOCK].T > least), len(q[s : s + BLOCK]))
+                    k += s
+                    # one of the rarest words of the item lies where verification looks
+                    lo = a[p] - offset[k] - 2 * MARGIN
+                    lo, hi = (np.clip(y, first[text[p]], first[text[p] + 1]) for y in (lo, lo + sizes[owner[k]] + 4 * MARGIN))
+                    keep = _holding(rarest, rare_t, rares[lo], rares[hi], owner[k] * len(known))
+                    for p_, k_ in zip(p[keep].tolist(), k[keep].tolist()):
                         m = int(owner[k_])
                         key = (i + int(text[p_]), m)
                         if out.get(key, 0.0) >= 1.0:
@@ -358,6 +390,45 @@ def _search(docs: DataFrame, ids: list[int], texts: list[str]) -> DataFrame | No
     return docs.mapInArrow(run, "doc_id long, item_id long, share double")
 
 
+def _before(at: np.ndarray, n: int) -> np.ndarray:
+    """For each of 0 to n the ascending positions ``at`` that are less."""
+    out = np.zeros(n + 1, np.int64)
+    out[at + 1] = 1
+    return np.cumsum(out)
+
+
+def _rows_of(rows: np.ndarray, first: np.ndarray, at: np.ndarray, t: np.ndarray, text: np.ndarray, a: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Sums of the rows of the known words of passages [a, e), by way of blocks of
+    a stride, which overlapping passages share."""
+    blocks = np.concatenate([[0], np.cumsum(-(-np.diff(first) // STRIDE))])
+    own = blocks[text] + (a - first[text]) // STRIDE
+    parts = [np.where(a + k < e, own + k // STRIDE, blocks[-1]) for k in range(0, WINDOW, STRIDE)]
+    needed = np.zeros(blocks[-1] + 1, bool)
+    for part in parts:
+        needed[part] = True
+    needed[-1] = False
+    of = np.searchsorted(first, at, "right") - 1
+    of = blocks[of] + (at - first[of]) // STRIDE
+    on = needed[of]
+    of, t = of[on], t[on]
+    heads = _heads(of)
+    sums = np.zeros((blocks[-1] + 1, rows.shape[1]), rows.dtype)
+    sums[of[heads]] = _sums(rows, t, heads)
+    return sum(sums[part] for part in parts)
+
+
+def _holding(rarest: np.ndarray, terms: np.ndarray, lo: np.ndarray, hi: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """Which of the spans terms[lo:hi] have a term in ``rarest`` after ``base`` is
+    added, which tells the span's item."""
+    out = [np.zeros(0, np.int64)]
+    for i, j in steps(np.concatenate([[0], np.cumsum(hi - lo)])):
+        lens = hi[i:j] - lo[i:j]
+        key = terms[_spans(lo[i:j], lens)] + np.repeat(base[i:j], lens)
+        own = rarest[np.minimum(np.searchsorted(rarest, key), len(rarest) - 1)] == key
+        out.append(i + np.unique(np.repeat(np.arange(j - i), lens)[own]))
+    return np.concatenate(out)
+
+
 def _answer(text: str) -> np.ndarray:
     """Words of the last sentence or line of an item of several, else none."""
     parts = [p for p in text.replace("!", ".").replace("?", ".").replace("\n", ".").split(".") if p.strip()]
